@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,13 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both["x"] == labels["node"]).groupBy("y").agg(F.min("comp").alias("m"))
         stepped = labels.join(near, labels["node"] == near["y"]).select("node", F.least("comp", "m").alias("comp"))
         stepped = saved(stepped, "labels")
+        discard(labels)
         jump = stepped.select(F.col("node").alias("t"), F.col("comp").alias("c"))
         labels = saved(stepped.join(jump, stepped["comp"] == jump["t"], "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp")), "labels")
+        discard(stepped)
         now = labels.agg(total).first()[0]
         if now == before:
             break
         before = now
+    discard(both)
     return labels

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, saved
+from .common import discard, read, release, saved
 from .components import components
 from .per_document import map_documents
 
@@ -169,7 +169,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
                 keep.append(100 * both >= percent * (len(a) + len(c) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return d.mapInArrow(run, "x long, y long")
+    found = saved(d.mapInArrow(run, "x long, y long"), "near-links")
+    discard(sets)
+    return found
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +187,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = saved(rows.join(shared, "key"), "near-buckets")
     release(spark)
     star = buckets.where("node != rep").select(F.col("rep").alias("x"), F.col("node").alias("y")).distinct()
-    links = saved(verified(saved(could_link(star, nodes, percent / 100), "near-pairs"), docs, nodes, k, percent, id_col, text_col), "near-links")
+    links = verified(saved(could_link(star, nodes, percent / 100), "near-pairs"), docs, nodes, k, percent, id_col, text_col)
     comp = components(links)
     release(spark)
 
@@ -199,8 +201,9 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = minor.join(rest, "key").where(apart & close).select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
     pairs = saved(could_link(more, nodes, percent / 100), "near-pairs")
     if pairs.limit(1).count():
-        links = saved(links.unionByName(verified(pairs, docs, nodes, k, percent, id_col, text_col)), "near-links")
-        comp = components(links)
+        comp = components(links.unionByName(verified(pairs, docs, nodes, k, percent, id_col, text_col)))
+    discard(buckets, rest)
+    release(spark)
     of = nodes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     out = sig.drop("registers").join(of, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

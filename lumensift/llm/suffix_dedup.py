@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, saved
+from .common import discard, read, release, saved
 from .per_document import SLICE, as_batch, map_documents, to_arrow_schema
 
 LENGTH = 200
@@ -205,8 +205,10 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     everything = saved(anchor_table(keyed, length, gram), "suffix-anchors")
     twice = everything.groupBy("g").count().where("count > 1").select("g")
     alive = saved(everything.join(twice, "g", "left_semi"), "suffix-alive")
+    discard(everything)
     release(spark)
     contexts = saved(alive.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("one")), "suffix-contexts")
+    release(spark)
     side = length - gram
     settled = alive.join(contexts.where("n > 1").select("g", "c"), ["g", "c"], "left_semi")
     settled = settled.select("doc_id", "h", F.greatest(F.col("pos") - side, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
@@ -234,7 +236,10 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         rim = rims(pieces.where("NOT hot").select(*columns), length, gram).unionByName(hot_rims(pieces.where("hot").select(*columns), length, gram))
     else:
         rim = rims(pieces.select(*columns), length, gram)
-    return settled.unionByName(saved(rim, "suffix-rims"))
+    runs = saved(settled.unionByName(rim), "suffix-runs")
+    discard(alive, contexts)
+    release(spark)
+    return runs
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
