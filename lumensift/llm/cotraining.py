@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,29 +34,42 @@ ROUNDS = 4
 TAKE = 40  # pseudo-labels a view gives in each round
 DIM = 1 << 12
 REJECT_BELOW = 0.5
-_TOKEN = re.compile(r"\S+")
+_DIGIT_RUN, _UPPER_RUN, _LOWER_RUN = re.compile(r"\d+"), re.compile(r"[A-Z]+"), re.compile(r"[a-zß-ÿ]+")
 META_DIM = 16 + 64
 
 
+class _Features(dict):
+    """Hashed features of a token (its shape, the token itself), remembered; emptied when large."""
+
+    def __missing__(self, tok: str) -> tuple[int, int]:
+        if len(self) > 300_000:
+            self.clear()
+        shape = _LOWER_RUN.sub("a", _UPPER_RUN.sub("A", _DIGIT_RUN.sub("0", tok)))[:12]
+        found = self[tok] = (zlib.crc32(b"s" + shape.encode()) % DIM, zlib.crc32(b"w" + tok.lower().encode()) % DIM)
+        return found
+
+
+_features = _Features()
+
+
 def content_view(text: str) -> tuple[list[int], list[float]]:
     """Hashed shapes and words, log counts, unit length."""
     counts: dict[int, int] = {}
-    for tok in _TOKEN.findall(text):
-        shape = re.sub(r"([A-Z])+", "A", re.sub(r"([a-zß-ÿ])+", "a", re.sub(r"\d+", "0", tok)))[:12]
-        for f in ("s" + shape, "w" + tok.lower()):
-            i = zlib.crc32(f.encode()) % DIM
-            counts[i] = counts.get(i, 0) + 1
+    for tok, n in Counter(text.split()).items():
+        for i in _features[tok]:
+            counts[i] = counts.get(i, 0) + n
     if not counts:
         return [], []
     v = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
-    return list(counts), (v / np.sqrt((v * v).sum())).tolist()
+    return list(counts), v / np.sqrt(v @ v)
 
 
 def metadata_view(text: str, lang: str | None, source: str | None) -> tuple[list[int], list[float]]:
     lines = text.split("\n")
     n = max(1, len(text))
     words = max(1, len(text.split()))
-    upper = len(re.findall(r"[A-Z]", text))
+    raw = text.encode("utf-8", "replace")
+    upper, digits = (len(raw) - len(raw.translate(None, x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
     lengths = [
         1.0,
         np.log1p(len(text)) / 10,
@@ -64,7 +78,7 @@ def metadata_view(text: str, lang: str | None, source: str | None) -> tuple[list
         min(3.0, len(text) / words / 6),
         min(3.0, 10 * sum(map(text.count, "#*$%&<>")) / words),
         min(3.0, 4 * upper / n),
-        min(3.0, 10 * len(re.findall(r"\d", text)) / n),
+        min(3.0, 10 * digits / n),
         min(3.0, 10 * text.count("|") / words),
         min(3.0, 10 * text.count("!") / words),
         min(3.0, 5 * text.count(".") / words),

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bound_once, read
+from .common import BLANKS, bound_once, read, saved
 
 WINDOW = 3
 
@@ -26,17 +26,18 @@ WINDOW = 3
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per window: _id, _h (hash of the whole text), pos (line from 0), w (hash of the three lines)."""
     lines = F.split(text_col, "\n")
-    hashed = F.transform(
-        F.sequence(F.lit(1), F.size(lines) - (WINDOW - 1)),
-        lambda i: F.when(F.length(F.translate(F.array_join(F.slice(lines, i, WINDOW), ""), BLANKS, "")) > 0, F.xxhash64(F.slice(lines, i, WINDOW))),
-    )
-    d = docs.where(F.size(lines) >= WINDOW).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(hashed).alias("pos", "w"))
+    # a line's hash, null where nothing is visible; a window without any visible line is left out
+    seen = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(F.translate(x, BLANKS, "")) > 0).alias("v")))
+    three = lambda a, i: F.when(F.get(a, i).getField("v") | F.get(a, i + 1).getField("v") | F.get(a, i + 2).getField("v"), F.xxhash64(*[F.get(a, i + k).getField("h") for k in range(WINDOW)]))
+    hashed = bound_once(seen, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - WINDOW), lambda i: three(a, i)))
+    many = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) >= WINDOW - 1
+    d = docs.where(many).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(hashed).alias("pos", "w"))
     return d.where("w IS NOT NULL")
 
 
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text that loses lines: _id, _h, starts (sorted window starts that are later occurrences)."""
-    w = windows(docs, id_col, text_col)
+    w = saved(windows(docs, id_col, text_col), "line-windows")  # texts are split once
     at = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"), F.col("pos").alias("p"))
     first = w.groupBy("w").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
     later = w.join(first, "w").where(at != F.col("first")).select("_id", "_h", "pos").distinct()
@@ -45,10 +46,9 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_lines(text: Column, starts: Column) -> Column:
     """The text without the lines that any window in starts covers."""
-    lines = F.split(text, "\n")
     gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (WINDOW - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return bound_once(lines, lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
+    kept = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)
+    return bound_once(F.split(text, "\n"), lambda ls: F.array_join(F.transform(kept(ls), lambda i: F.get(ls, i)), "\n"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
