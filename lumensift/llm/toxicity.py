@@ -29,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, words
+from .common import bound_once, read, saved, words
 from .per_document import map_documents
 
 MAX_EXAMPLES = 2500
@@ -148,8 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
 
     # one example of each group of near copies (same least hash of four words in a row), lest copies pose as support
-    w = words(F.lower("t"))
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda j: F.xxhash64(F.slice(w, j, 4))))
+    least = bound_once(words(F.lower("t")), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda j: F.xxhash64(F.slice(w, j, 4)))))
     texts = saved(texts.withColumn("g", least).groupBy("y", "g").agg(F.min(F.struct("i", "t")).alias("r")).select("r.i", "y", "r.t"), "tox-examples")
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
