@@ -11,9 +11,10 @@ threshold, and near copies are the connected components.
 3. Every node is paired with the least node of each of its buckets: a star, not all pairs. The joint likelihood of
    both sketches and set sizes estimates the similarity; pairs that could reach the threshold are verified on the full
    shingle sets. Components of the verified links follow.
-4. Exact rest: in buckets that still hold several components, every node outside the bucket's largest component is
-   paired with the bucket's nodes of other components, estimated and verified likewise. Pairs within a component need
-   no test, as they cannot change it; so no bucket is capped.
+4. Exact rest: in buckets that still hold several components, a node's shingles that none of the other nodes has bound
+   its overlap with any of them; nodes and pairs that the bound settles go. Of what is left, every node outside the
+   bucket's largest component is paired with the bucket's nodes of other components, estimated and verified likewise.
+   Pairs within a component need no test, as they cannot change it; so no bucket is capped.
 
 Scale: texts are read twice (sketches; sets of candidate nodes only) and shuffled once, by doc_id, for candidates.
 Hot groups of copies are one node after map-side aggregation, hot buckets are stars. All tables between steps are
@@ -144,10 +145,9 @@ def could_link(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return d.where((F.col("nx") >= threshold * F.col("ny")) & (F.col("ny") >= threshold * F.col("nx"))).mapInArrow(run, "x long, y long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (x, y) whose full shingle sets reach the similarity, by 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    keys = nodes.join(wanted, "node").select("node", "set_key")
+def full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, s: the sorted shingle hashes (binary) of the nodes in wanted."""
+    keys = nodes.join(wanted, "node", "left_semi").select("node", "set_key")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("t")).join(keys, "node")
 
     def one(node, key, raw):
@@ -156,7 +156,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
             return None  # another text under the same doc_id
         return node, s.tobytes()
 
-    sets = saved(map_documents(texts, {"node": "value", "set_key": "value", "t": "text"}, one, "node long, s binary").dropDuplicates(["node"]), "near-sets")
+    return saved(map_documents(texts, {"node": "value", "set_key": "value", "t": "text"}, one, "node long, s binary").dropDuplicates(["node"]), "near-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose full shingle sets reach the similarity, by 100 * intersection >= percent * union."""
     side = lambda p: sets.select(F.col("node").alias(p), F.col("s").alias(f"s{p}"))
     d = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy")
 
@@ -169,9 +173,23 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
                 keep.append(100 * both >= percent * (len(a) + len(c) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    found = saved(d.mapInArrow(run, "x long, y long"), "near-links")
-    discard(sets)
-    return found
+    return saved(d.mapInArrow(run, "x long, y long"), "near-links")
+
+
+def own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, own: how many of a node's shingles stand in none of the other nodes (nodes without any have no row)."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+                owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(parts))], names=["node", "h"])
+
+    rows = sets.join(nodes, "node", "left_semi").select("node", "s").mapInArrow(run, "node long, h long")
+    alone = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,22 +205,27 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = saved(rows.join(shared, "key"), "near-buckets")
     release(spark)
     star = buckets.where("node != rep").select(F.col("rep").alias("x"), F.col("node").alias("y")).distinct()
-    links = verified(saved(could_link(star, nodes, percent / 100), "near-pairs"), docs, nodes, k, percent, id_col, text_col)
+    sets = full_sets(buckets.select("node").distinct(), docs, nodes, k, id_col, text_col)
+    links = verified(saved(could_link(star, nodes, percent / 100), "near-pairs"), sets, percent)
     comp = components(links)
     release(spark)
 
     labelled = buckets.join(comp, "node", "left").select("key", "node", "rep", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
     rest = saved(labelled.join(mixed, "key").join(nodes.select("node", "n"), "node"), "near-rest")
-    main = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"))
-    minor = rest.join(main, "key").where("comp != main").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"), F.col("n").alias("np"))
+    # A node shares at most `most` shingles with any other of the rest; that settles most nodes and pairs exactly.
+    own = own_shingles(rest.select("node").distinct(), sets)
+    rest2 = saved(rest.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(100 * F.col("most") >= percent * F.col("n")), "near-rest")
+    main = rest2.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"))
+    minor = rest2.join(main, "key").where("comp != main").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"), F.col("n").alias("np"), F.col("most").alias("mp"))
     apart = (F.col("cp") != F.col("comp")) & (F.col("node") != F.col("rep")) & (F.col("p") != F.col("rep"))
-    close = (F.col("np") * 100 >= percent * F.col("n")) & (F.col("n") * 100 >= percent * F.col("np"))
-    more = minor.join(rest, "key").where(apart & close).select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
+    overlap = F.least("most", "mp")
+    close = 100 * overlap >= percent * (F.col("n") + F.col("np") - overlap)
+    more = minor.join(rest2, "key").where(apart & close).select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
     pairs = saved(could_link(more, nodes, percent / 100), "near-pairs")
     if pairs.limit(1).count():
-        comp = components(links.unionByName(verified(pairs, docs, nodes, k, percent, id_col, text_col)))
-    discard(buckets, rest)
+        comp = components(links.unionByName(verified(pairs, sets, percent)))
+    discard(buckets, rest, rest2, sets)
     release(spark)
     of = nodes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     out = sig.drop("registers").join(of, "set_key", "left")
