@@ -11,10 +11,10 @@ threshold, and near copies are the connected components.
 3. Every node is paired with the least node of each of its buckets: a star, not all pairs. The joint likelihood of
    both sketches and set sizes estimates the similarity; pairs that could reach the threshold are verified on the full
    shingle sets. Components of the verified links follow.
-4. Exact rest: in buckets that still hold several components, a node's shingles that none of the other nodes has bound
-   its overlap with any of them; nodes and pairs that the bound settles go. Of what is left, every node outside the
-   bucket's largest component is paired with the bucket's nodes of other components, estimated and verified likewise.
-   Pairs within a component need no test, as they cannot change it; so no bucket is capped.
+4. Exact rest: nodes of buckets that still hold several components are joined by an exact prefix filter: a pair that
+   reaches the threshold shares one of its rarest shingles, as many as both set sizes call for. Pairs of different
+   components that do are estimated and verified likewise. Pairs within a component need no test, as they cannot
+   change it; so no bucket is capped.
 
 Scale: texts are read twice (sketches; sets of candidate nodes only) and shuffled once, by doc_id, for candidates.
 Hot groups of copies are one node after map-side aggregation, hot buckets are stars. All tables between steps are
@@ -176,10 +176,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(d.mapInArrow(run, "x long, y long"), "near-links")
 
 
-def own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, own: how many of a node's shingles stand in none of the other nodes (nodes without any have no row)."""
+def size_classes() -> np.ndarray:
+    """Least set size of each class; classes grow by 2 percent, so that sizes of one class need much the same overlap."""
+    return np.unique(np.ceil(1.02 ** np.arange(0, 1800)).astype(np.int64))
 
-    def run(batches):
+
+def prefix_keys(n: int, hashes: np.ndarray, unshared: int, percent: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (and whether as the smaller set of a pair) under which a set of n shingles can meet partners.
+
+    hashes: its shingles that other sets have as well, rarest first, after `unshared` ones that none has. Sets of sizes
+    n and m reach the similarity only with an overlap of percent * (n + m) / (100 + percent), and then the first
+    n - overlap + 1 and m - overlap + 1 of their shingles have one in common. A key is a shingle and both size classes.
+    """
+    of = lambda x: int(np.searchsorted(least, x, "right")) - 1
+    own = of(n)
+    found: list[np.ndarray] = []
+    small: list[bool] = []
+
+    def emit(partner: int, a: int, b: int, is_small: bool) -> None:
+        overlap = -(-percent * (n + partner) // (100 + percent))
+        front = hashes[: max(0, n - overlap + 1 - unshared)]
+        with np.errstate(over="ignore"):
+            found.append(mix(front * _C[0] + np.uint64(a << 20 | b)))
+        small.extend([is_small] * len(front))
+
+    for k in range(own, of(n * 100 // percent) + 1):
+        emit(max(n, int(least[k])), own, k, True)
+    low = -(-percent * n // 100)
+    for k in range(of(low), own + 1):
+        emit(max(low, int(least[k])), k, own, False)
+    return np.concatenate(found), np.array(small, bool)
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rest: node, comp, n -> pairs (x, y) of nodes of different components, every pair among them that reaches the
+    similarity: an exact prefix filter over the shingles, rarest first, with the overlap that both sizes call for."""
+    least = size_classes()
+
+    def explode(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -187,9 +221,32 @@ def own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(parts))], names=["node", "h"])
 
-    rows = sets.join(nodes, "node", "left_semi").select("node", "s").mapInArrow(run, "node long, h long")
-    alone = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
+    def keys(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                out: list[list] = [[], [], [], []]
+                for node, comp, n, hs in zip(*whole.slice(at, 64).columns, strict=True):
+                    h = hs.values.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
+                    k, small = prefix_keys(n.as_py(), h, n.as_py() - len(h), percent, least)
+                    for col, x in zip(out, (k.view(np.int64), small, np.full(len(k), node.as_py()), np.full(len(k), comp.as_py())), strict=True):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "small", "node", "comp"])
+
+    rows = sets.join(rest.select("node"), "node", "left_semi").select("node", "s").mapInArrow(explode, "node long, h long")
+    common = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    front = rows.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    keyed = saved(front.join(rest, "node").select("node", "comp", "n", "hs").mapInArrow(keys, "key long, small boolean, node long, comp long"), "near-prefixes")
+    # of the largest component under a key only pairs with others matter
+    counts = keyed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    main = counts.agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    live = saved(keyed.join(main, "key").select("key", "small", "node", "comp", (F.col("comp") == F.col("main")).alias("inside")), "near-prefixes")
+    side = lambda rows, p: rows.select("key", F.col("node").alias(p), F.col("comp").alias("c" + p))
+    apart = F.col("cp") != F.col("cq")
+    one = side(live.where("small AND NOT inside"), "p").join(side(live.where("NOT small"), "q"), "key").where(apart)
+    two = side(live.where("small AND inside"), "p").join(side(live.where("NOT small AND NOT inside"), "q"), "key").where(apart)
+    found = saved(one.unionByName(two).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "near-pairs")
+    discard(keyed, live)
+    return found
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,20 +269,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     labelled = buckets.join(comp, "node", "left").select("key", "node", "rep", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-    rest = saved(labelled.join(mixed, "key").join(nodes.select("node", "n"), "node"), "near-rest")
-    # A node shares at most `most` shingles with any other of the rest; that settles most nodes and pairs exactly.
-    own = own_shingles(rest.select("node").distinct(), sets)
-    rest2 = saved(rest.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(100 * F.col("most") >= percent * F.col("n")), "near-rest")
-    main = rest2.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"))
-    minor = rest2.join(main, "key").where("comp != main").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"), F.col("n").alias("np"), F.col("most").alias("mp"))
-    apart = (F.col("cp") != F.col("comp")) & (F.col("node") != F.col("rep")) & (F.col("p") != F.col("rep"))
-    overlap = F.least("most", "mp")
-    close = 100 * overlap >= percent * (F.col("n") + F.col("np") - overlap)
-    more = minor.join(rest2, "key").where(apart & close).select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
+    rest = saved(labelled.join(mixed, "key").select("node", "comp").distinct().join(nodes.select("node", "n"), "node"), "near-rest")
+    more = prefix_pairs(rest, sets, percent)
     pairs = saved(could_link(more, nodes, percent / 100), "near-pairs")
     if pairs.limit(1).count():
         comp = components(links.unionByName(verified(pairs, sets, percent)))
-    discard(buckets, rest, rest2, sets)
+    discard(buckets, rest, sets)
     release(spark)
     of = nodes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     out = sig.drop("registers").join(of, "set_key", "left")
