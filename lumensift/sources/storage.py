@@ -33,9 +33,11 @@ class Store:
         return fs.exists(p)
 
     def manifest(self) -> dict:
-        if not self.exists():
+        # between the deletion and the renaming of a swap only the new one is there, and it is complete
+        name = next((x for x in ("manifest.json", "manifest.tmp") if self.exists(x)), None)
+        if name is None:
             raise FileNotFoundError(f"no index at {self.path}")
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest.json").first()
+        text = self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").first()
         return json.loads(text[0])
 
     def _swap(self, manifest: dict) -> None:
@@ -49,7 +51,7 @@ class Store:
         fs.rename(temp, target)
 
     def create(self) -> Store:
-        if not self.exists():
+        if not self.exists() and not self.exists("manifest.tmp"):
             self._swap({"version": 0, "last_id": 0, "changes": 0, "applied": 0})
         return self
 
