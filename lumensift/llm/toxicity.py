@@ -1,18 +1,19 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, found with an inverted index.
 
 Learning (labels only from rows whose crc32(doc_id) mod 5 is not 0; at most `max_examples` labelled rows of each
 class, the first by digest of their id): terms are words and word beginnings of 3 to 6 characters, so that inflected
-and coined forms of one stem share a term. The terms most associated with the label on the examples form the index's
-vocabulary; example texts become unit TF-IDF vectors over it.
+and coined forms of one stem share a term. All terms of the examples, toxic or not, form the index's vocabulary; their
+document frequencies come from one aggregate over all documents; example texts become unit TF-IDF vectors over it.
 
-Scoring: every text is a vector over the same vocabulary. Postings are cut into blocks of examples that carry the
-largest weight in each; a block is opened only if its upper bound can still reach the current k-th best cosine, so
-the k nearest examples are exact. Their votes, weighted by cosine and shrunk to the rate among texts without any
-term, pass through a logistic calibration fitted on leave-one-out votes of the examples. The nearest examples are
-returned as evidence.
+Scoring: every text is a vector over the same vocabulary, and its cosine with every example is computed: frequent
+terms have a dense row of weights and are multiplied as matrices, a batch of texts at a time; all others have postings
+that are added up. So the k nearest examples are exact. Their votes, of either class, weighted by cosine and shrunk to
+the rate among texts without any term, pass through a logistic calibration fitted on leave-one-out votes of the
+examples. The nearest examples are returned as evidence. Terms that no example holds match nothing and are left out of
+a text's norm, in the leave-one-out votes as well (there: terms that no other example holds).
 
-Scale: the index is bounded by max_examples, max_terms and the terms per example, and its size is checked before it
-is shipped; scoring is one streaming pass over the texts, without a shuffle.
+Scale: the index is bounded by max_examples and the terms per example, and its size is checked before it is shipped;
+frequencies and scores are one streaming pass over the texts each, and only sums by term are shuffled.
 
 Defined results: null and empty texts have no terms and get the calibrated rate of texts without terms; labels that
 are null are not examples; with no labelled row of either class every score is the prior (0.0 without labels);
@@ -22,24 +23,26 @@ repeated rows each get the same row; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import bound_once, read, saved, words
-from .per_document import map_documents
+from .per_document import as_batch, map_documents
 
 MAX_EXAMPLES = 2500
-MAX_TERMS = 600
-MIN_SUPPORT = 4
-MIN_STRENGTH = 9.0  # log rate ratio times the root of the support: chance terms stay out
 NEIGHBOURS = 15
 SHRINK = 3.0  # cosine mass that the rate among texts without terms counts as
-BLOCK = 64
-MAX_INDEX_ENTRIES = 4_000_000
+BATCH = 256  # texts scored at a time
+FREQUENT = 16  # terms of over a FREQUENT-th of the examples have a dense row
+MAX_INDEX_ENTRIES = 40_000_000
+MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 
@@ -62,47 +65,115 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+class Vocabulary:
+    """Numbers of terms; a text becomes the numbers and counts of its terms."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers, self.memo = numbers, {}
+
+    def __getstate__(self):
+        return self.numbers
+
+    def __setstate__(self, numbers):
+        self.numbers, self.memo = numbers, {}
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        numbers, memo, found, counts = self.numbers, self.memo, [], []
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            ids = memo.get(w)
+            if ids is None:
+                ids = memo[w] = [numbers[t] for t in (w, *(w[:k] + "-" for k in PREFIXES if len(w) > k)) if t in numbers]
+            found += ids
+            counts.append((n, len(ids)))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        n = np.array(counts)
+        order = np.argsort(ids := np.array(found), kind="stable")
+        ids, n = ids[order], np.repeat(n[:, 0], n[:, 1])[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        return ids[first], np.add.reduceat(n, first).astype(np.float64)
+
+
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors over a small vocabulary."""
-
-    def __init__(self, idf: dict[str, float], vectors: list[dict[str, float]], ids: list[int], labels: list[int]):
-        if sum(map(len, vectors)) > MAX_INDEX_ENTRIES:
-            raise ValueError("the index is over its size bound; lower max_examples or max_terms")
-        self.idf, self.ids, self.labels = idf, ids, labels
-        self.postings: dict[str, dict[int, list[tuple[int, float]]]] = {}
-        for n, v in enumerate(vectors):
-            for t, w in v.items():
-                self.postings.setdefault(t, {}).setdefault(n // BLOCK, []).append((n, w))
-        self.top = {t: {b: max(w for _, w in p) for b, p in blocks.items()} for t, blocks in self.postings.items()}
-        self.memo: dict[tuple, list[tuple[float, int]]] = {}
+    """Inverted index of unit TF-IDF vectors: dense rows for frequent terms, postings for the others."""
+
+    def __init__(self, idf: dict[str, float], vectors: list, ids: list[int], labels: list[int]):
+        """vectors: of each example {term: weight}, or arrays (numbers of terms in the order of idf, weights)."""
+        if sum(len(v) if isinstance(v, dict) else len(v[0]) for v in vectors) > MAX_INDEX_ENTRIES:
+            raise ValueError("the index is over its size bound; lower max_examples")
+        self.idf, self.ids, self.labels = idf, ids, np.array(labels, np.float64)
+        self.vocabulary = Vocabulary({t: n for n, t in enumerate(idf)})
+        self.weights = np.fromiter(idf.values(), np.float64, len(idf))
+        pairs = [self.numbered(v) if isinstance(v, dict) else v for v in vectors]
+        example = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(t) for t, _ in pairs])
+        term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0)
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
+        self.held = np.bincount(term, minlength=len(idf))  # examples by term
+        self.start = np.concatenate([[0], np.cumsum(self.held)])
+        self.dense = None
+
+    def numbered(self, v: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        found = sorted((self.vocabulary.numbers[t], w) for t, w in v.items() if t in self.vocabulary.numbers)
+        return np.array([t for t, _ in found], np.int64), np.array([w for _, w in found], np.float64)
+
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None, "idf": None}  # the rows are laid out again where they are used
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()} if norm else {}
 
-    def nearest(self, q: dict[str, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def weighted(self, counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a text's terms and counts."""
+        at, n = counted
+        w = (1 + np.log(n)) * self.weights[at]
+        norm = math.sqrt(float(w @ w))
+        return (at, w / norm) if norm else (at[:0], w[:0])
+
+    def lay_out(self) -> None:
+        often = np.flatnonzero(self.held * FREQUENT > len(self.ids))
+        self.row = np.full(len(self.held), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(self.ids)))
+        for r, t in enumerate(often):
+            a, b = self.start[t], self.start[t + 1]
+            self.dense[r, self.example[a:b]] = self.weight[a:b]
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of every query (unit vector) with every example."""
+        if self.dense is None:
+            self.lay_out()
+        by_row = np.zeros((len(queries), len(self.dense)))
+        rest = []
+        for i, (at, w) in enumerate(queries):
+            r = self.row[at]
+            by_row[i, r[r >= 0]] = w[r >= 0]
+            rest.append((at[r < 0], w[r < 0]))
+        out = by_row @ self.dense
+        for i, (at, w) in enumerate(rest):
+            n = self.held[at]
+            if len(at) and (total := int(n.sum())):
+                ends = np.cumsum(n)
+                where = np.arange(total) + np.repeat(self.start[at] - (ends - n), n)
+                out[i] += np.bincount(self.example[where], self.weight[where] * np.repeat(w, n), len(self.ids))
+        return out
+
+    def best(self, cosines: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, example), ties to the lower example number; cosines over 0 only."""
-        bound: dict[int, float] = {}
-        for t, x in q.items():
-            for b, top in self.top.get(t, {}).items():
-                bound[b] = bound.get(b, 0.0) + x * top
-        best: list[tuple[float, int]] = []  # heap of (cosine, -example)
-        for b in sorted(bound, key=lambda b: (-bound[b], b)):
-            if len(best) == k and bound[b] + 1e-9 < best[0][0]:
-                break
-            cosines: dict[int, float] = {}
-            for t in sorted(q):
-                for n, w in self.postings.get(t, {}).get(b, ()):
-                    cosines[n] = cosines.get(n, 0.0) + q[t] * w
-            for n, c in cosines.items():
-                if n != skip:
-                    entry = (round(c, 9), -n)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return [(c, -n) for c, n in sorted(best, reverse=True)]
+        c = np.round(cosines, 9)
+        if 0 <= skip < len(c):
+            c[skip] = 0
+        near = np.flatnonzero(c >= max(np.partition(c, -k)[-k], 1e-9)) if len(c) > k else np.flatnonzero(c > 0)
+        near = near[np.lexsort((near, -c[near]))][:k]
+        return [(float(c[n]), int(n)) for n in near]
+
+    def nearest(self, q: dict[str, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        return self.best(self.cosines([self.numbered(q)])[0], k, skip)
 
 
 class Model:
@@ -118,15 +189,46 @@ class Model:
         p = min(max(vote, 1e-4), 1 - 1e-4)
         return 1 / (1 + math.exp(-(self.slope * math.log(p / (1 - p)) + self.offset)))
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        queries = [self.index.weighted(self.index.vocabulary.count(t)) for t in texts]
+        out = []
+        for (at, _), c in zip(queries, self.index.cosines(queries), strict=True):
+            near = self.index.best(c, self.k) if len(at) else []
+            out.append((self.calibrated(self.vote(near) if len(at) else self.base), near))
+        return out
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        q = self.index.vector(terms(text or ""))
-        if not q:
-            return self.calibrated(self.base), []
-        near = self.index.nearest(q, self.k)
-        return self.calibrated(self.vote(near)), near
+        return self.scores([text])[0]
+
 
+def frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> tuple[int, np.ndarray]:
+    """Number of rows of docs, and of those that hold each term of the vocabulary."""
+    import pyarrow as pa
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Model:
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        v = shared.value
+        n = np.zeros(len(v.numbers) + 1, np.int64)  # the last one counts rows
+        for b in batches:
+            for t in b.column(0):
+                n[v.count(t.as_py())[0]] += 1
+            n[-1] += b.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["term", "n"])
+
+    sums = docs.select(F.col(text_col)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(vocabulary.numbers) + 1, np.int64)
+    n[sums["term"].to_numpy()] = sums["n"].to_numpy()
+    return int(n[-1]), n[:-1]
+
+
+def held_terms(i, y, text):
+    found = terms(text or "")
+    return i, y, " ".join(found), list(found.values())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
     lab = lab.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     share = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
@@ -138,37 +240,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     texts = d.join(chosen, "i").groupBy("i", "y").agg(F.max("t").alias("t"))
 
-    # terms of the examples, counted by class in Spark; only the chosen vocabulary and its vectors come back
-    def explode(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = list(terms(t or ""))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
-
     # one example of each group of near copies (same least hash of four words in a row), lest copies pose as support
     least = bound_once(words(F.lower("t")), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda j: F.xxhash64(F.slice(w, j, 4)))))
     texts = saved(texts.withColumn("g", least).groupBy("y", "g").agg(F.min(F.struct("i", "t")).alias("r")).select("r.i", "y", "r.t"), "tox-examples")
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    df = texts.select("y", "t").mapInArrow(explode, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    # signed root of the likelihood ratio: how far the term's rate among toxic examples exceeds that among others
-    ratio = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1)))
-    strength = ratio * F.sqrt(F.col("a").cast("double"))
-    vocabulary = df.where((F.col("a") >= MIN_SUPPORT) & (ratio > math.log(3)) & (strength >= MIN_STRENGTH)).select("term", "a", "b", strength.alias("s")).orderBy(F.desc("s"), "term").limit(max_terms).collect()
-    idf = {r["term"]: math.log(1 + (n0 + n1) / (1 + r["a"] + r["b"])) for r in vocabulary}
+    counted = map_documents(texts.select("i", "y", "t"), {"i": "value", "y": "value", "t": "value"}, held_terms, "i long, y int, terms string, counts array<int>").toArrow()  # bounded: 2 * max_examples rows
+    numbers: dict[str, int] = {}
+    rows = []
+    for i, y, found, n in zip(*[counted[c] for c in ("i", "y", "terms", "counts")], strict=True):
+        at = np.array([numbers.setdefault(t, len(numbers)) for t in found.as_py().split()], np.int64)
+        rows.append((i.as_py(), y.as_py(), at, np.array(n.as_py(), np.float64)))
+    del counted
+    rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
+    n_docs, df = frequencies(d, Vocabulary(numbers), "t")
+    idf = dict(zip(numbers, np.log(1 + n_docs / (1 + df)).tolist(), strict=True))
+    known = [r for r in rows if len(r[2])]
     probe = Index(idf, [], [], [])
-    vectors = map_documents(texts.select("i", "y", "t"), {"i": "value", "y": "value", "t": "value"}, lambda i, y, t: (i, y, probe.vector(terms(t or ""))), "i long, y int, v map<string,double>")
-    rows = sorted((r["i"], r["y"], dict(r["v"])) for r in vectors.collect())  # bounded: 2 * max_examples rows of at most max_terms
-    rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())  # blocks mix both classes alike on every run
-    known = [r for r in rows if r[2]]
+    index = Index(idf, [probe.weighted(r[2:]) for r in known], [r[0] for r in known], [r[1] for r in known])
     # each class counts as much as it does among all labelled rows
     weight = {y: share.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1)}
-    empty = {y: weight[y] * sum(1 for r in rows if r[1] == y and not r[2]) for y in (0, 1)}
+    empty = {y: weight[y] * sum(1 for r in rows if r[1] == y and not len(r[2])) for y in (0, 1)}
     base = (empty[1] + 0.5 * weight[1]) / (empty[0] + empty[1] + weight[0] + weight[1]) if sum(empty.values()) else share.get(1, 0) / sum(share.values())
-    model = Model(Index(idf, [r[2] for r in known], [r[0] for r in known], [r[1] for r in known]), base, k)
-    data = [(model.vote(model.index.nearest(v, k, skip=n)), y, weight[y]) for n, (_, y, v) in enumerate(known)]
+    model = Model(index, base, k)
+    data = []
+    for a in range(0, len(known), BATCH):
+        part = known[a : a + BATCH]
+        queries = [index.weighted((at[others], n[others])) for _, _, at, n in part for others in [index.held[at] > 1]]
+        data += [(model.vote(index.best(c, k, skip=a + j)), r[1], weight[r[1]]) for j, (r, c) in enumerate(zip(part, index.cosines(queries), strict=True))]
     data += [(base, y, m) for y, m in empty.items()]
     model.slope, model.offset = platt(data)
     return model
@@ -201,12 +299,22 @@ def platt(data: list[tuple[float, int, float]], steps: int = 60) -> tuple[float,
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic)."""
 
-    def one(doc_id, out, text):
-        score, near = model.score(text)
-        return doc_id, out, score, int(score >= 0.5), [{"doc_id": model.index.ids[n], "cosine": c, "toxic": model.index.labels[n]} for c, n in near[:5]]
+    schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                ids, out, texts = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
+                rows = []
+                for i, o, (score, near) in zip(ids, out, m.scores(texts), strict=True):
+                    rows.append((i, o, score, int(score >= 0.5), [{"doc_id": m.index.ids[n], "cosine": c, "toxic": int(m.index.labels[n])} for c, n in near[:5]]))
+                yield as_batch(rows, arrow)
 
     d = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("o"), F.col(text_col).alias("t"))
-    return map_documents(d, {"doc_id": "value", "o": "value", "t": "value"}, one, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return d.mapInArrow(run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -151,6 +153,33 @@ def test_block_max_index_is_exact():
         assert [c for c, _ in ix.nearest(q, 7)] == pytest.approx(want, abs=2e-9)
 
 
+def test_toxicity_indexes_all_terms(spark):
+    """A few examples of a rare wording, and non-toxic examples, are found by cosine over all their terms."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("abcdefghij") * 3 + rnd.choice("klmnopq") for _ in range(20))) for i in range(100)]
+    rows[1], rows[2] = (1, "zorblat quimdex vrunk"), (2, "zorblat quimdex vrunk now")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i in (1, 2))) for i in range(100)], "doc_id long, toxic int")
+    m = toxicity.fit(d, lab)
+    used = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(m.index.ids) == used
+    counts = {i: toxicity.terms(t) for i, t in rows}
+    idf = lambda t: math.log(1 + len(rows) / (1 + sum(t in c for c in counts.values())))
+    every = {t for i in used for t in counts[i]}
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * idf(t) for t, n in c.items() if t in every}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    for i in (1, 7, 50):
+        q = vector(counts[i])
+        want = sorted((sum(x * vector(counts[j]).get(t, 0) for t, x in q.items()) for j in used), reverse=True)[:15]
+        score, near = m.score(rows[i][1])
+        assert [c for c, _ in near] == pytest.approx([c for c in want if c > 1e-9], abs=1e-8) and 0 < score < 1
+    assert any(m.index.labels[n] == 0 for _, n in m.score(rows[7][1])[1])
+
+
 def jaccard_components(texts, k):
     sets = {}
     for i, t in texts:
