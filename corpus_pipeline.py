@@ -1,7 +1,7 @@
 """A training corpus from `documents`: classify, dedup lines, drop near copies, decontaminate, mix sources.
 
 Every stage reads all rows that the stage before it kept, from Parquet in the shared folder; nothing is sampled. The
-first four return the columns of documents, the last one row per document with the words that the mix takes of it.
+first four return the columns of documents, the last one row per document with the words that the mix takes of it and their training positions.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: source, sizes, its source's target and the words taken of it."""
-    return mixing.place(docs).drop("_offset")
+    """One row per document, in training order: source, sizes, its source's target, the words taken of it and the
+    training position of each pass."""
+    return mixing.ordered(docs)
 
 
 STAGES = [

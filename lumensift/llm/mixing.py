@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import n_words, read, saved
 
 MAX_EPOCHS = 3
+#: Production ramps by a source's weight: light sources fade over training, heavy ones grow.
+RAMPS = {1.0: -0.5, 2.0: 0.0, 3.0: 0.5}
 RANGE_DIGITS = 3  # hexadecimal digits of the digest: 4096 ranges a source
 
 
@@ -55,7 +57,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, _offset (words of its source before it)."""
+    """Per row: doc_id, source, size, source_size, target, taken, _offset (words of its source before it), _weight."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string")).alias("_digest"), F.xxhash64(text_col).alias("_tie"))
     d = saved(d, "mix-sizes")  # narrow: the texts are read and split once
     d = d.withColumn("_range", F.substring(F.coalesce("_digest", F.lit("")), 1, RANGE_DIGITS))
@@ -63,14 +65,14 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ranges = d.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_range_size").over(before), F.lit(0)))
-    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "_range", "_before", "source_size", "target")
+    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "_range", "_before", "source_size", "target", "weight")
     within = Window.partitionBy("source", "_range").orderBy("_digest", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d._range") == F.col("r._range")))
     offset = F.col("_before") + F.col("_within")
     whole = F.floor("target")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - (e * F.col("source_size") + offset))) for e in range(max_epochs)), F.lit(0))
-    return d.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), offset.alias("_offset"))
+    return d.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), offset.alias("_offset"), F.col("weight").alias("_weight"))
 
 
 def position(demand, target, ramp: float):
@@ -82,26 +84,51 @@ def position(demand, target, ramp: float):
     return (-b + F.sqrt(b * b + 4 * ramp * share)) / (2 * ramp)
 
 
-def curriculum(docs: DataFrame, ramps: dict[str, float] | None = None, max_epochs: int = MAX_EPOCHS, **columns) -> DataFrame:
-    """One row per document occurrence taken: doc_id, source, epoch, words, position (range-sorted by position).
+def passes(docs: DataFrame, ramps: dict[str, float] | None = None, max_epochs: int = MAX_EPOCHS, **columns) -> DataFrame:
+    """The rows of place() and passes: array of (epoch, words, position) of each pass, words 0 and no position where none is taken.
 
-    ramps: by source, between -1 and 1, how its weight falls or rises over training; 0 where absent.
+    ramps: by source, between -1 and 1, how its weight falls or rises over training, 0 where absent; None: RAMPS by weight.
     """
     for k, r in (ramps or {}).items():
         if not -1 <= r <= 1:
             raise ValueError(f"ramp of {k!r} must lie between -1 and 1")
+    rules = [(F.col("_weight") == w, r) for w, r in RAMPS.items()] if ramps is None else [(F.col("source") == s, r) for s, r in ramps.items()]
     d = place(docs, max_epochs=max_epochs, **columns)
-    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-    start = F.col("epoch") * F.col("source_size") + F.col("_offset")
-    d = d.withColumn("_start", start).withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("_start"))).cast("long"))
-    place_at = position(F.col("_start"), F.col("target"), 0.0)
-    for source, ramp in (ramps or {}).items():
-        place_at = F.when(F.col("source") == source, position(F.col("_start"), F.col("target"), ramp)).otherwise(place_at)
-    return d.where("words > 0").select("doc_id", "source", "epoch", "words", place_at.alias("position")).sort("position", "source", "doc_id", "epoch")
+    each = []
+    for e in range(max_epochs):
+        start = F.lit(e) * F.col("source_size") + F.col("_offset")
+        words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+        at = position(start, F.col("target"), 0.0)
+        for rule, ramp in rules:
+            at = F.when(rule, position(start, F.col("target"), ramp)).otherwise(at)
+        each.append(F.struct(F.lit(e).alias("epoch"), words.alias("words"), F.when(words > 0, at).alias("position")))
+    return d.withColumn("passes", F.array(*each))
+
+
+def curriculum(docs: DataFrame, ramps: dict[str, float] | None = None, max_epochs: int = MAX_EPOCHS, **columns) -> DataFrame:
+    """One row per document occurrence taken: doc_id, source, epoch, words, position (range-sorted by position)."""
+    d = passes(docs, ramps, max_epochs, **columns).select("doc_id", "source", F.inline("passes"))
+    return d.where("words > 0").sort("position", "source", "doc_id", "epoch")
+
+
+def ordered(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per document, those with nothing taken too and last, range-sorted by their first training position:
+    doc_id, source, size, source_size, target, taken (the words of all passes), position_1, position_2, ..."""
+    d = passes(docs, max_epochs=max_epochs)
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    at = [F.col("passes")[e]["position"].alias(f"position_{e + 1}") for e in range(max_epochs)]
+    d = d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *at)
+    return d.sort(F.col("position_1").asc_nulls_last(), "source", "doc_id")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(read(spark, sf_dir, "documents")).drop("_offset", "source")
+    """The contract's columns, as OP6_SQL has them; op6_training_order has the positions."""
+    return place(read(spark, sf_dir, "documents")).drop("_offset", "_weight", "source")
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a document in the training order under the production ramps."""
+    return curriculum(read(spark, sf_dir, "documents"))
 
 
 SIZE_SQL = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w != ''))"
@@ -121,3 +148,14 @@ mixed AS (SELECT p.doc_id, p.text, p.source, p.size, t.source_size, t.target,
 """
 
 OP6_SQL = "WITH base AS (SELECT 1)" + MIX_SQL.format(size=SIZE_SQL, docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+_SHARE = "least((e * source_size + off) / target, 1.0::DOUBLE)"
+OP6_ORDER_SQL = (
+    "WITH base AS (SELECT 1)"
+    + MIX_SQL.format(size=SIZE_SQL, docs="documents")
+    + f""", runs AS (SELECT m.doc_id, m.source, m.target, p.off, m.source_size, w.weight, e,
+  greatest(0, least(m.size, floor(m.target) - e * m.source_size - p.off))::BIGINT AS words
+  FROM mixed m JOIN placed p ON m.doc_id = p.doc_id JOIN weighted w ON m.source IS NOT DISTINCT FROM w.source CROSS JOIN range(3) t(e)),
+ramped AS (SELECT *, {_SHARE} AS share, CASE weight WHEN 1 THEN -0.5::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS r FROM runs WHERE words > 0)
+SELECT doc_id, source, e::INTEGER AS epoch, words, CASE WHEN r = 0 THEN share ELSE (-(1 - r) + sqrt((1 - r) * (1 - r) + 4 * r * share)) / (2 * r) END AS position FROM ramped"""
+)

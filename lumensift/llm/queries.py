@@ -9,10 +9,11 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op6_training_order": mixing.op6_training_order,
     "op7_quality_classifier": cotraining.op7_quality_classifier,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLES = {"op6_mixing": mixing.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+ORACLES = {"op6_mixing": mixing.OP6_SQL, "op6_training_order": mixing.OP6_ORDER_SQL, "op8_line_dedup": line_dedup.OP8_SQL}

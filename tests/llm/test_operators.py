@@ -254,6 +254,25 @@ def test_sql_forms(spark, table, query, text):
     assert cols == sorted(theirs.columns) and rows(mine) == rows(theirs)
 
 
+def test_training_order(spark, table):
+    """The registered query and the stage of the pipeline have positions and order."""
+    import __spark_entry__
+
+    mine = __spark_entry__.queries()["op6_training_order"](spark, SF).toPandas()
+    theirs = sql(__spark_entry__.oracle_sql()["op6_training_order"])
+    key = ["doc_id", "epoch"]
+    a, b = mine.sort_values(key), theirs[list(mine.columns)].sort_values(key)
+    assert a[["doc_id", "epoch", "words"]].values.tolist() == b[["doc_id", "epoch", "words"]].values.tolist()
+    assert a["position"].tolist() == pytest.approx(b["position"].tolist(), abs=1e-9) and a["source"].tolist() == b["source"].tolist()
+    assert mine["position"].is_monotonic_increasing and mine["position"].between(0, 1).all()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.mix(spark, docs, SF).collect()
+    first = [r["position_1"] for r in rows if r["position_1"] is not None]
+    assert first == sorted(first) and all(r["position_1"] is None for r in rows[len(first) :]) and len(rows) == docs.count()
+    words = mine.groupby("doc_id")["words"].sum().to_dict()
+    assert all(r["taken"] == words.get(r["doc_id"], 0) for r in rows)
+
+
 def test_mixing_caps_and_curriculum(spark):
     sizes = {"a": [5] * 4, "b": [100] * 10, "c": [7] * 30, None: [50] * 5}
     rows, n = [], 0
