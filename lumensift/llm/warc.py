@@ -8,17 +8,21 @@ headers and digest are repeated in the metadata record.
 Record ids are derived from the response's id and the record's type, so that reruns and retried tasks write the same
 bytes. One streaming pass, no shuffle; a record is handled whole.
 
-Defined results: a null or unparsable response yields no derivative and an error text; a null page is an empty body;
+Chunked transfer and gzip and deflate encodings are undone before the text is taken.
+
+Defined results: a null or unparsable response, or one in an unknown or broken encoding, yields no derivative and an error text; a null page is an empty body;
 an empty table gives an empty result; repeated rows give repeated records; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +80,55 @@ def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines[1:]) if c], body
 
 
+def unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(CRLF, at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            raise ValueError("broken chunked body")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != CRLF:
+            raise ValueError("broken chunked body")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def inflated(body: bytes) -> bytes:
+    """HTTP's deflate: a zlib stream, or the raw one that some servers send."""
+    for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+        d = zlib.decompressobj(bits)
+        try:
+            out = d.decompress(body) + d.flush()
+        except zlib.error:
+            continue
+        if d.eof:
+            return out
+    raise ValueError("broken deflate body")
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its transfer and content encodings, the last applied undone first. Raises ValueError."""
+    named = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",")]
+    for coding in reversed(named("content-encoding") + named("transfer-encoding")):
+        if coding in ("", "identity") or not body:
+            continue
+        if coding == "chunked":
+            body = unchunked(body)
+        elif coding in ("gzip", "x-gzip"):
+            try:
+                body = gzip.decompress(body)
+            except (OSError, EOFError, zlib.error):
+                raise ValueError("broken gzip body") from None
+        elif coding == "deflate":
+            body = inflated(body)
+        else:
+            raise ValueError(f"unknown encoding {coding}")
+    return body
+
+
 _DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
 _BREAKS = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|table|tr|article|section|nav|header|footer|blockquote|pre|title|head|body)|br|hr|li|td)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
@@ -106,10 +159,11 @@ def derive(raw: bytes) -> tuple[bytes, bytes, dict]:
     source = fields["warc-record-id"]
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     charset = m[1] if (m := re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)) else "utf-8"
+    plain = decoded(headers, body)
     try:
-        page = body.decode(charset, "replace")
+        page = plain.decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     text = visible_text(page)
     block_text = text.encode()
     shared = [("WARC-Target-URI", fields.get("warc-target-uri", "")), ("WARC-Date", fields.get("warc-date", "")), ("WARC-Refers-To", source)]

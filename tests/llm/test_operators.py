@@ -1,5 +1,6 @@
 """Corpus operators against brute force, SQL, round trips and held-out labels, and on odd inputs."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -427,3 +428,26 @@ def test_pipeline_stages(spark, table):
         if name == "mixing":
             assert ids(out) == ids(docs) and out.where("taken > 3 * size").count() == 0
         docs = out
+
+
+def test_warc_encodings():
+    page = b"<html><title>T</title><p>hello there</p></html>"
+    raw = zlib.compressobj(wbits=-15)
+    chunked = lambda b: b"5;x=1\r\n" + b[:5] + b"\r\n" + f"{len(b) - 5:X}".encode() + b"\r\n" + b[5:] + b"\r\n0\r\n\r\n"
+
+    def derive(head, body):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        return warc.derive(warc.record("response", "<urn:x>", [], block))[2]["text"]
+
+    zipped = gzip.compress(page)
+    for head, body in [
+        (b"Transfer-Encoding: chunked", chunked(page)),
+        (b"Content-Encoding: gzip", zipped),
+        (b"content-encoding: deflate", zlib.compress(page)),
+        (b"Content-Encoding: deflate", raw.compress(page) + raw.flush()),
+        (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked(zipped)),
+    ]:
+        assert derive(head, body) == "T\nhello there", head
+    for head, body in [(b"Content-Encoding: br", page), (b"Content-Encoding: gzip", zipped[:-9]), (b"Transfer-Encoding: chunked", page)]:
+        with pytest.raises(ValueError):
+            derive(head, body)
