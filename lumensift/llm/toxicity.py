@@ -1,16 +1,22 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, found with an inverted index.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
 Learning (labels only from rows whose crc32(doc_id) mod 5 is not 0; at most `max_examples` labelled rows of each
-class, the first by digest of their id): terms are words and word beginnings of 3 to 6 characters, so that inflected
-and coined forms of one stem share a term. All terms of the examples, toxic or not, form the index's vocabulary; their
-document frequencies come from one aggregate over all documents; example texts become unit TF-IDF vectors over it.
-
-Scoring: every text is a vector over the same vocabulary, and its cosine with every example is computed: frequent
-terms have a dense row of weights and are multiplied as matrices, a batch of texts at a time; all others have postings
-that are added up. So the k nearest examples are exact. Their votes, of either class, weighted by cosine and shrunk to
-the rate among texts without any term, pass through a logistic calibration fitted on leave-one-out votes of the
-examples. The nearest examples are returned as evidence. Terms that no example holds match nothing and are left out of
-a text's norm, in the leave-one-out votes as well (there: terms that no other example holds).
+class, the first by digest of their id; equal texts of a class are one example): every word of every example, toxic
+or not, is a term of the index. A term's weight in a text is (1 + log tf) * idf * factor: document frequencies come
+from one aggregate over all documents, and the factor is PLAIN for every term plus how far the log odds of the classes
+among the examples that hold it lie beyond CERTAIN standard errors. So no term is dropped, and the cosine between unit
+vectors turns on what sets the classes apart.
+
+Index: examples are numbered so that those with the same heaviest shared terms lie together, and cut into blocks of
+BLOCK. A term has postings, and for each of its blocks the largest weight; the few terms that many examples hold have
+a dense row of weights instead, multiplied for a batch of texts at a time. A block's largest dense sum and the largest
+weights of a text's other terms bound every cosine in the block: the blocks of the highest bounds are scored first,
+and then just those whose bound reaches the k-th best cosine found. The k nearest examples are exact.
+
+Scoring: their votes, of either class, weighted by cosine and shrunk to the rate among texts without any term, pass
+through a logistic calibration fitted on leave-one-out votes of the examples. The nearest examples are returned as
+evidence. Terms that no example holds match nothing and are left out of a text's norm, in the leave-one-out votes as
+well (there: terms that no other example holds).
 
 Scale: the index is bounded by max_examples and the terms per example, and its size is checked before it is shipped;
 frequencies and scores are one streaming pass over the texts each, and only sums by term are shuffled.
@@ -33,32 +39,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import bound_once, read, saved, words
+from .common import discard, read, saved
 from .per_document import as_batch, map_documents
 
 MAX_EXAMPLES = 2500
 NEIGHBOURS = 15
-SHRINK = 3.0  # cosine mass that the rate among texts without terms counts as
+SHRINK = 0.2  # cosine mass that the rate among texts without terms counts as
+PLAIN, CERTAIN = 0.05, 3.0
+BLOCK = 128  # examples of a block
+SEEDS = 2  # blocks scored before the k-th best cosine is known
+FREQUENT, MAX_DENSE = 16, 512  # terms that over a FREQUENT-th of the examples hold have a dense row, MAX_DENSE at most
 BATCH = 256  # texts scored at a time
-FREQUENT = 16  # terms of over a FREQUENT-th of the examples have a dense row
 MAX_INDEX_ENTRIES = 40_000_000
-MEMO_WORDS = 200_000
+MEMO_TOKENS = 200_000
+EPS = 1e-9
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (3, 4, 5, 6)
 
 
 def terms(text: str) -> dict[str, int]:
-    """Counts of words ("word") and of word beginnings ("beg-")."""
-    counts: dict[str, int] = {}
-    for w in _WORD.findall(text.lower()):
-        counts[w] = counts.get(w, 0) + 1
-    out = dict(counts)
-    for w, n in counts.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                p = w[:k] + "-"
-                out[p] = out.get(p, 0) + n
-    return out
+    """Counts of the lower-cased words."""
+    return Counter(_WORD.findall(text.lower()))
 
 
 def held_out(doc_id):
@@ -71,63 +71,82 @@ class Vocabulary:
     def __init__(self, numbers: dict[str, int]):
         self.numbers, self.memo = numbers, {}
 
-    def __getstate__(self):
-        return self.numbers
-
-    def __setstate__(self, numbers):
-        self.numbers, self.memo = numbers, {}
+    def __reduce__(self):
+        return Vocabulary, (self.numbers,)
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        numbers, memo, found, counts = self.numbers, self.memo, [], []
-        if len(memo) > MEMO_WORDS:
+        counts: dict[int, int] = {}
+        memo = self.memo
+        if len(memo) > MEMO_TOKENS:
             memo.clear()
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = [numbers[t] for t in (w, *(w[:k] + "-" for k in PREFIXES if len(w) > k)) if t in numbers]
-            found += ids
-            counts.append((n, len(ids)))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        n = np.array(counts)
-        order = np.argsort(ids := np.array(found), kind="stable")
-        ids, n = ids[order], np.repeat(n[:, 0], n[:, 1])[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        return ids[first], np.add.reduceat(n, first).astype(np.float64)
+        for token, n in Counter((text or "").split()).items():
+            held = memo.get(token)
+            if held is None:  # a token between blanks may hold several words, or none
+                held = memo[token] = tuple(self.numbers[w] for w in _WORD.findall(token.lower()) if w in self.numbers)
+            for t in held:
+                counts[t] = counts.get(t, 0) + n
+        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (counts[i] of them) of every i."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 class Index:
-    """Inverted index of unit TF-IDF vectors: dense rows for frequent terms, postings for the others."""
+    """Block-max inverted index of unit TF-IDF vectors."""
 
-    def __init__(self, idf: dict[str, float], vectors: list, ids: list[int], labels: list[int]):
-        """vectors: of each example {term: weight}, or arrays (numbers of terms in the order of idf, weights)."""
+    def __init__(self, weights: dict[str, float], vectors: list, ids: list[int], labels: list[int], block: int = BLOCK):
+        """vectors: of each example {term: weight}, or arrays (numbers of terms in the order of weights, weights)."""
         if sum(len(v) if isinstance(v, dict) else len(v[0]) for v in vectors) > MAX_INDEX_ENTRIES:
             raise ValueError("the index is over its size bound; lower max_examples")
-        self.idf, self.ids, self.labels = idf, ids, np.array(labels, np.float64)
-        self.vocabulary = Vocabulary({t: n for n, t in enumerate(idf)})
-        self.weights = np.fromiter(idf.values(), np.float64, len(idf))
+        self.vocabulary = Vocabulary({t: n for n, t in enumerate(weights)})
+        self.weights = np.fromiter(weights.values(), np.float64, len(weights))
         pairs = [self.numbered(v) if isinstance(v, dict) else v for v in vectors]
+        held = np.bincount(np.concatenate([t for t, _ in pairs]), minlength=len(weights)) if pairs else np.zeros(len(weights), np.int64)
+        order = self.together(pairs, held)
+        pairs = [pairs[i] for i in order]
+        self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], np.float64)
         example = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(t) for t, _ in pairs])
         term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0)
-        order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order], weight[order]
-        self.held = np.bincount(term, minlength=len(idf))  # examples by term
-        self.start = np.concatenate([[0], np.cumsum(self.held)])
-        self.dense = None
+        by_term = np.argsort(term, kind="stable")
+        term, example, weight = term[by_term], example[by_term], weight[by_term]
+        self.held, self.block, self.blocks = held, block, -(-len(pairs) // block)
+        often = np.argsort(-held, kind="stable")[:MAX_DENSE]
+        often = often[held[often] * FREQUENT > len(pairs)]
+        self.row = np.full(len(weights), -1)
+        self.row[often] = np.arange(len(often))
+        in_row = self.row[term] >= 0
+        self.dense = np.zeros((len(often), self.blocks * block))
+        self.dense[self.row[term[in_row]], example[in_row]] = weight[in_row]
+        term, self.example, self.weight = term[~in_row], example[~in_row], weight[~in_row]
+        b = self.example // block
+        # runs of postings of one term in one block
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        self.run_start, self.run_size = first, np.diff(np.append(first, len(term)))
+        self.run_block = b[first]
+        self.run_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.runs = np.bincount(term[first], minlength=len(weights))  # runs by term
+        self.first_run = np.concatenate([[0], np.cumsum(self.runs)])
+
+    @staticmethod
+    def together(pairs: list, held: np.ndarray) -> list[int]:
+        """Examples in the order of their heaviest terms that others hold as well."""
+
+        def key(i):
+            t, w = pairs[i]
+            shared = held[t] > 1
+            t, w = t[shared], w[shared]
+            return [int(x) for x in t[np.lexsort((t, -w))][:4]], i
+
+        return sorted(range(len(pairs)), key=key)
 
     def numbered(self, v: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
         found = sorted((self.vocabulary.numbers[t], w) for t, w in v.items() if t in self.vocabulary.numbers)
         return np.array([t for t, _ in found], np.int64), np.array([w for _, w in found], np.float64)
 
-    def __getstate__(self):
-        return self.__dict__ | {"dense": None, "idf": None}  # the rows are laid out again where they are used
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
     def weighted(self, counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a text's terms and counts."""
         at, n = counted
@@ -135,45 +154,53 @@ class Index:
         norm = math.sqrt(float(w @ w))
         return (at, w / norm) if norm else (at[:0], w[:0])
 
-    def lay_out(self) -> None:
-        often = np.flatnonzero(self.held * FREQUENT > len(self.ids))
-        self.row = np.full(len(self.held), -1)
-        self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(self.ids)))
-        for r, t in enumerate(often):
-            a, b = self.start[t], self.start[t + 1]
-            self.dense[r, self.example[a:b]] = self.weight[a:b]
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of every query (unit vector) with every example."""
-        if self.dense is None:
-            self.lay_out()
-        by_row = np.zeros((len(queries), len(self.dense)))
-        rest = []
-        for i, (at, w) in enumerate(queries):
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Per query the k largest (cosine, example), ties to the lower example number; cosines over 0 only; never the
+        query's example in `skip`."""
+        common = np.zeros((len(queries), len(self.dense)))
+        for q, (at, w) in enumerate(queries):
             r = self.row[at]
-            by_row[i, r[r >= 0]] = w[r >= 0]
-            rest.append((at[r < 0], w[r < 0]))
-        out = by_row @ self.dense
-        for i, (at, w) in enumerate(rest):
-            n = self.held[at]
-            if len(at) and (total := int(n.sum())):
-                ends = np.cumsum(n)
-                where = np.arange(total) + np.repeat(self.start[at] - (ends - n), n)
-                out[i] += np.bincount(self.example[where], self.weight[where] * np.repeat(w, n), len(self.ids))
-        return out
-
-    def best(self, cosines: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), ties to the lower example number; cosines over 0 only."""
-        c = np.round(cosines, 9)
-        if 0 <= skip < len(c):
-            c[skip] = 0
-        near = np.flatnonzero(c >= max(np.partition(c, -k)[-k], 1e-9)) if len(c) > k else np.flatnonzero(c > 0)
-        near = near[np.lexsort((near, -c[near]))][:k]
-        return [(float(c[n]), int(n)) for n in near]
-
-    def nearest(self, q: dict[str, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        return self.best(self.cosines([self.numbered(q)])[0], k, skip)
+            common[q, r[r >= 0]] = w[r >= 0]
+        sums = common @ self.dense
+        rest = [(at[r < 0], w[r < 0]) for at, w in queries for r in [self.row[at]]]
+        return [self._nearest(at, w, c, k, -1 if skip is None else skip[q]) for q, ((at, w), c) in enumerate(zip(rest, sums, strict=True))]
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, c: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """c: sums of the dense terms by example; the other terms' postings are added where the bounds call for it."""
+        n = len(self.ids)
+        if not n:
+            return []
+        runs = spread(self.first_run[at], self.runs[at])
+        w = np.repeat(w, self.runs[at])
+        in_block = self.run_block[runs]
+        bound = c.reshape(self.blocks, self.block).max(axis=1) + np.bincount(in_block, self.run_max[runs] * w, self.blocks)
+        found: list[np.ndarray] = []
+
+        def score(chosen: np.ndarray) -> np.ndarray:
+            """Examples of the chosen blocks and their cosines."""
+            take = np.flatnonzero(chosen[in_block])
+            these = runs[take]
+            size = self.run_size[these]
+            where = spread(self.run_start[these], size)
+            sums = c + np.bincount(self.example[where], self.weight[where] * np.repeat(w[take], size), len(c))
+            if skip >= 0:
+                sums[skip] = 0
+            which = (np.flatnonzero(chosen)[:, None] * self.block + np.arange(self.block)).ravel()
+            found.append(np.stack([which, sums[which]]))
+            return found[-1][1]
+
+        seeds = np.zeros(self.blocks, bool)
+        seeds[np.argsort(-bound, kind="stable")[:SEEDS]] = True
+        first = score(seeds)
+        least = np.partition(first, -k)[-k] if len(first) > k else 0.0
+        more = ~seeds & (bound >= max(least - EPS, EPS))
+        if more.any():
+            score(more)
+        which, cosine = np.concatenate(found, axis=1)
+        likely = cosine >= max(least - EPS, EPS)
+        which, cosine = which[likely].astype(np.int64), np.round(cosine[likely], 9)
+        near = np.lexsort((which, -cosine))[:k]
+        return [(float(cosine[i]), int(which[i])) for i in near]
 
 
 class Model:
@@ -190,15 +217,8 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * math.log(p / (1 - p)) + self.offset)))
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        queries = [self.index.weighted(self.index.vocabulary.count(t)) for t in texts]
-        out = []
-        for (at, _), c in zip(queries, self.index.cosines(queries), strict=True):
-            near = self.index.best(c, self.k) if len(at) else []
-            out.append((self.calibrated(self.vote(near) if len(at) else self.base), near))
-        return out
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        return self.scores([text])[0]
+        found = self.index.nearest([self.index.weighted(self.index.vocabulary.count(t)) for t in texts], self.k)
+        return [(self.calibrated(self.vote(near)), near) for near in found]
 
 
 def frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> tuple[int, np.ndarray]:
@@ -228,6 +248,19 @@ def held_terms(i, y, text):
     return i, y, " ".join(found), list(found.values())
 
 
+def factors(rows: list[tuple], n_terms: int) -> np.ndarray:
+    """Of each term: PLAIN and the part of its log odds ratio between the classes beyond CERTAIN standard errors."""
+    per_class = [np.zeros(n_terms), np.zeros(n_terms)]
+    size = [0, 0]
+    for _, y, at, _ in rows:
+        per_class[y][at] += 1
+        size[y] += 1
+    (b, a), (nb, na) = per_class, size
+    odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
+    error = np.sqrt(1 / (a + 0.5) + 1 / (na - a + 0.5) + 1 / (b + 0.5) + 1 / (nb - b + 0.5))
+    return PLAIN + np.maximum(0, np.abs(odds) - CERTAIN * error)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
     lab = lab.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
@@ -239,34 +272,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(ids)  # at most 2 * max_examples rows of an id and a label
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     texts = d.join(chosen, "i").groupBy("i", "y").agg(F.max("t").alias("t"))
-
-    # one example of each group of near copies (same least hash of four words in a row), lest copies pose as support
-    least = bound_once(words(F.lower("t")), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda j: F.xxhash64(F.slice(w, j, 4)))))
-    texts = saved(texts.withColumn("g", least).groupBy("y", "g").agg(F.min(F.struct("i", "t")).alias("r")).select("r.i", "y", "r.t"), "tox-examples")
-    sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
-    counted = map_documents(texts.select("i", "y", "t"), {"i": "value", "y": "value", "t": "value"}, held_terms, "i long, y int, terms string, counts array<int>").toArrow()  # bounded: 2 * max_examples rows
+    texts = saved(texts.groupBy("y", "t").agg(F.min("i").alias("i")), "tox-examples")
+    counted = map_documents(texts, {"i": "value", "y": "value", "t": "value"}, held_terms, "i long, y int, terms string, counts array<int>").toArrow()  # bounded: 2 * max_examples rows
+    discard(texts)
     numbers: dict[str, int] = {}
     rows = []
-    for i, y, found, n in zip(*[counted[c] for c in ("i", "y", "terms", "counts")], strict=True):
-        at = np.array([numbers.setdefault(t, len(numbers)) for t in found.as_py().split()], np.int64)
-        rows.append((i.as_py(), y.as_py(), at, np.array(n.as_py(), np.float64)))
+    for i, y, found, n in sorted(zip(*[counted[c].to_pylist() for c in ("i", "y", "terms", "counts")], strict=True), key=lambda r: hashlib.md5(str(r[0]).encode()).digest()):
+        at = np.array([numbers.setdefault(t, len(numbers)) for t in found.split()], np.int64)
+        by_number = np.argsort(at)
+        rows.append((i, y, at[by_number], np.array(n, np.float64)[by_number]))
     del counted
-    rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
+    sizes = Counter(r[1] for r in rows)
     n_docs, df = frequencies(d, Vocabulary(numbers), "t")
-    idf = dict(zip(numbers, np.log(1 + n_docs / (1 + df)).tolist(), strict=True))
+    weights = dict(zip(numbers, (np.log(1 + n_docs / (1 + df)) * factors(rows, len(numbers))).tolist(), strict=True))
     known = [r for r in rows if len(r[2])]
-    probe = Index(idf, [], [], [])
-    index = Index(idf, [probe.weighted(r[2:]) for r in known], [r[0] for r in known], [r[1] for r in known])
+    probe = Index(weights, [], [], [])
+    index = Index(weights, [probe.weighted(r[2:]) for r in known], [r[0] for r in known], [r[1] for r in known])
     # each class counts as much as it does among all labelled rows
-    weight = {y: share.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1)}
+    weight = {y: share.get(y, 0) / max(1, sizes[y]) for y in (0, 1)}
     empty = {y: weight[y] * sum(1 for r in rows if r[1] == y and not len(r[2])) for y in (0, 1)}
     base = (empty[1] + 0.5 * weight[1]) / (empty[0] + empty[1] + weight[0] + weight[1]) if sum(empty.values()) else share.get(1, 0) / sum(share.values())
     model = Model(index, base, k)
+    place = {i: n for n, i in enumerate(index.ids)}
     data = []
     for a in range(0, len(known), BATCH):
         part = known[a : a + BATCH]
         queries = [index.weighted((at[others], n[others])) for _, _, at, n in part for others in [index.held[at] > 1]]
-        data += [(model.vote(index.best(c, k, skip=a + j)), r[1], weight[r[1]]) for j, (r, c) in enumerate(zip(part, index.cosines(queries), strict=True))]
+        found = index.nearest(queries, k, [place[r[0]] for r in part])
+        data += [(model.vote(near), r[1], weight[r[1]]) for r, near in zip(part, found, strict=True)]
     data += [(base, y, m) for y, m in empty.items()]
     model.slope, model.offset = platt(data)
     return model
@@ -319,4 +352,4 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return toxicity(docs, fit(docs, read(spark, sf_dir, "labels"))).drop("evidence")
+    return toxicity(docs, fit(docs, read(spark, sf_dir, "labels")))

@@ -140,22 +140,33 @@ def test_toxicity_held_out(spark):
     assert len(none) == 1 and none[0][0] < 0.5
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize(("block", "dense"), [(4, 0), (16, 5), (512, 30)])
+def test_block_max_index_is_exact(monkeypatch, block, dense):
+    monkeypatch.setattr(toxicity, "MAX_DENSE", dense)
     rnd = random.Random(9)
-    idf = {f"t{i}": rnd.uniform(0.5, 3) for i in range(30)}
-    probe = toxicity.Index(idf, [], [], [])
-    draw = lambda: probe.vector({t: rnd.randint(1, 4) for t in rnd.sample(list(idf), rnd.randint(1, 8))})
+    weights = {f"t{i}": rnd.uniform(0.5, 3) for i in range(30)}
+    probe = toxicity.Index(weights, [], [], [])
+
+    def draw():
+        v = {t: rnd.randint(1, 4) * weights[t] for t in rnd.sample(list(weights), rnd.randint(1, 8))}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
     vectors = [draw() for _ in range(500)]
-    ix = toxicity.Index(idf, vectors, list(range(500)), [0] * 500)
+    ix = toxicity.Index(weights, vectors, list(range(500)), [0] * 500, block=block)
     for _ in range(50):
-        q = draw()
-        brute = sorted(((round(sum(q[t] * v.get(t, 0) for t in sorted(q)), 9), -n) for n, v in enumerate(vectors)), reverse=True)
-        want = [c for c, _ in brute if c > 0][:7]
-        assert [c for c, _ in ix.nearest(q, 7)] == pytest.approx(want, abs=2e-9)
+        q, skip = draw(), rnd.choice((-1, rnd.randrange(500)))
+        brute = {n: round(sum(q[t] * vectors[n].get(t, 0) for t in q), 9) for n in range(500)}
+        if skip >= 0:
+            brute.pop(ix.ids[skip])
+        want = sorted((c for c in brute.values() if c > 0), reverse=True)[:7]
+        got = ix.nearest([probe.numbered(q)], 7, [skip])[0]
+        assert [c for c, _ in got] == pytest.approx(want, abs=2e-9)
+        assert all(brute[ix.ids[n]] == pytest.approx(c, abs=2e-9) for c, n in got)
 
 
 def test_toxicity_indexes_all_terms(spark):
-    """A few examples of a rare wording, and non-toxic examples, are found by cosine over all their terms."""
+    """The whole query against brute force: a few examples of a rare wording and non-toxic ones, over all terms."""
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice("abcdefghij") * 3 + rnd.choice("klmnopq") for _ in range(20))) for i in range(100)]
     rows[1], rows[2] = (1, "zorblat quimdex vrunk"), (2, "zorblat quimdex vrunk now")
@@ -165,20 +176,49 @@ def test_toxicity_indexes_all_terms(spark):
     used = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
     assert set(m.index.ids) == used
     counts = {i: toxicity.terms(t) for i, t in rows}
-    idf = lambda t: math.log(1 + len(rows) / (1 + sum(t in c for c in counts.values())))
-    every = {t for i in used for t in counts[i]}
+    weight = dict(zip(m.index.vocabulary.numbers, m.index.weights, strict=True))
+    assert set(weight) == {t for i in used for t in counts[i]}
+    for t in ("zorblat", next(iter(counts[50]))):  # idf times what sets the classes apart
+        a, b = (sum(t in counts[i] for i in used if (i in (1, 2)) == y) for y in (True, False))
+        na = len(used & {1, 2})
+        nb = len(used) - na
+        odds = math.log((a + 0.5) / (na - a + 0.5)) - math.log((b + 0.5) / (nb - b + 0.5))
+        error = math.sqrt(sum(1 / (x + 0.5) for x in (a, na - a, b, nb - b)))
+        idf = math.log(1 + len(rows) / (1 + sum(t in c for c in counts.values())))
+        assert weight[t] == pytest.approx(idf * (toxicity.PLAIN + max(0, abs(odds) - toxicity.CERTAIN * error)))
 
     def vector(c):
-        v = {t: (1 + math.log(n)) * idf(t) for t, n in c.items() if t in every}
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
+    out = {r["doc_id"]: r for r in toxicity.toxicity(d, m).collect()}
     for i in (1, 7, 50):
         q = vector(counts[i])
-        want = sorted((sum(x * vector(counts[j]).get(t, 0) for t, x in q.items()) for j in used), reverse=True)[:15]
-        score, near = m.score(rows[i][1])
-        assert [c for c, _ in near] == pytest.approx([c for c in want if c > 1e-9], abs=1e-8) and 0 < score < 1
-    assert any(m.index.labels[n] == 0 for _, n in m.score(rows[7][1])[1])
+        cosine = {j: sum(x * vector(counts[j]).get(t, 0) for t, x in q.items()) for j in used}
+        want = [c for c in sorted(cosine.values(), reverse=True)[:15] if c > 1e-9]
+        near = m.scores([rows[i][1]])[0][1]
+        assert [c for c, _ in near] == pytest.approx(want, abs=1e-8)
+        share = sum(c for c, n in near if m.index.ids[n] in (1, 2))
+        assert out[i]["score"] == pytest.approx(m.calibrated((share + toxicity.SHRINK * m.base) / (sum(want) + toxicity.SHRINK)), abs=1e-6)
+        assert [(e["doc_id"], round(e["cosine"], 6)) for e in out[i]["evidence"]] == [(m.index.ids[n], round(c, 6)) for c, n in near[:5]]
+    assert any(not e["toxic"] for e in out[7]["evidence"])
+
+
+@pytest.mark.parametrize(("sf", "least", "recall"), [("sf0.01", 0.9, 0.6), ("sf0.1", 0.95, 0.9)])
+def test_toxicity_on_held_out_labels(spark, sf, least, recall):
+    """sf0.01 has 6 held-out toxic documents and 45 toxic examples, sf0.1 97 and 352."""
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{path}/labels.parquet").where("toxic IS NOT NULL")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    # only labelled documents are scored here; frequencies cover all
+    m = toxicity.fit(docs, labels)
+    rows = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), m).where("held_out").join(labels, "doc_id").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == y] for y in (1, 0))
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert auc >= least and sum(s >= 0.5 for s in bad) >= recall * len(bad) and sum(s >= 0.5 for s in good) <= 0.02 * len(good), (auc, sum(s >= 0.5 for s in bad), len(bad), sum(s >= 0.5 for s in good), len(good))
 
 
 def jaccard_components(texts, k):
