@@ -14,7 +14,7 @@ from lumensift.functions.timeutil import bucket_start, normalize_time, parse_dur
 from lumensift.operators import aggregate
 from lumensift.operators import search as s
 from lumensift.operators.index import ClosedIndex, Index, UnknownTerm
-from lumensift.plans.ast import And, Boolean, Clause, Fuzzy, Occur, Or, Phrase, Range, Term, Wildcard, extract_terms
+from lumensift.plans.ast import And, Boolean, Clause, Fuzzy, Not, Occur, Or, Phrase, Range, Term, Wildcard, extract_terms
 from lumensift.plans.compiler import compile_query
 from lumensift.plans.parser import ParseError, parse
 from lumensift.sources import documents as d
@@ -103,7 +103,10 @@ def test_parse_trees():
     assert parse("a b c") == And((And((Term("a"), Term("b"))), Term("c")))
     assert parse("a OR b OR c") == Or((Term("a"), Term("b"), Term("c")))
     assert parse("Title:iph*") == Wildcard("Title", "iph")
-    assert parse("") is None
+    assert parse("") is None and parse('""') is None and parse('go "" x') == parse("go x")
+    assert parse('ab"cd"ef') == parse("ab cd ef")  # a quote ends the word
+    assert parse("a OR b AND NOT c d") == Or((Term("a"), And((And((Term("b"), Not(Term("c")))), Term("d")))))
+    assert parse("t:[1 to 2] (x)") == And((Range("t", "1", "2", "number"), Term("x")))
     assert extract_terms(parse('"go lang" NOT t:ab~1')) == ["go lang", "go", "lang", "ab"]
     with pytest.raises(ValueError):
         Fuzzy("f", "x", 2)
