@@ -122,13 +122,8 @@ def ordered(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, as OP6_SQL has them; op6_training_order has the positions."""
-    return place(read(spark, sf_dir, "documents")).drop("_offset", "_weight", "source")
-
-
-def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of a document in the training order under the production ramps."""
-    return curriculum(read(spark, sf_dir, "documents"))
+    """The contract's columns in training order, and the training position of each pass over a document."""
+    return ordered(read(spark, sf_dir, "documents")).drop("source")
 
 
 SIZE_SQL = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w != ''))"
@@ -147,15 +142,14 @@ mixed AS (SELECT p.doc_id, p.text, p.source, p.size, t.source_size, t.target,
   FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
 """
 
-OP6_SQL = "WITH base AS (SELECT 1)" + MIX_SQL.format(size=SIZE_SQL, docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
+_PASS = """CASE WHEN least(m.size, floor(m.target) - {e} * m.source_size - p.off) > 0 THEN {at} END AS position_{n}"""
+_SHARE = "least(({e} * m.source_size + p.off) / m.target, 1.0::DOUBLE)"
+_AT = f"CASE w.weight WHEN 1 THEN (-1.5::DOUBLE + sqrt(1.5::DOUBLE * 1.5::DOUBLE + -2.0::DOUBLE * {_SHARE})) / -1.0::DOUBLE WHEN 3 THEN (-0.5::DOUBLE + sqrt(0.5::DOUBLE * 0.5::DOUBLE + 2.0::DOUBLE * {_SHARE})) / 1.0::DOUBLE ELSE {_SHARE} END"
 
-_SHARE = "least((e * source_size + off) / target, 1.0::DOUBLE)"
-OP6_ORDER_SQL = (
+OP6_SQL = (
     "WITH base AS (SELECT 1)"
     + MIX_SQL.format(size=SIZE_SQL, docs="documents")
-    + f""", runs AS (SELECT m.doc_id, m.source, m.target, p.off, m.source_size, w.weight, e,
-  greatest(0, least(m.size, floor(m.target) - e * m.source_size - p.off))::BIGINT AS words
-  FROM mixed m JOIN placed p ON m.doc_id = p.doc_id JOIN weighted w ON m.source IS NOT DISTINCT FROM w.source CROSS JOIN range(3) t(e)),
-ramped AS (SELECT *, {_SHARE} AS share, CASE weight WHEN 1 THEN -0.5::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS r FROM runs WHERE words > 0)
-SELECT doc_id, source, e::INTEGER AS epoch, words, CASE WHEN r = 0 THEN share ELSE (-(1 - r) + sqrt((1 - r) * (1 - r) + 4 * r * share)) / (2 * r) END AS position FROM ramped"""
+    + "SELECT m.doc_id, m.size, m.source_size, m.target, m.taken, "
+    + ", ".join(_PASS.format(e=e, n=e + 1, at=_AT.format(e=e)) for e in range(3))
+    + " FROM mixed m JOIN placed p ON m.doc_id = p.doc_id JOIN weighted w ON m.source IS NOT DISTINCT FROM w.source"
 )

@@ -296,22 +296,32 @@ def test_sql_forms(spark, table, query, text):
 
 
 def test_training_order(spark, table):
-    """The registered query and the stage of the pipeline have positions and order."""
-    import __spark_entry__
-
-    mine = __spark_entry__.queries()["op6_training_order"](spark, SF).toPandas()
-    theirs = sql(__spark_entry__.oracle_sql()["op6_training_order"])
-    key = ["doc_id", "epoch"]
-    a, b = mine.sort_values(key), theirs[list(mine.columns)].sort_values(key)
-    assert a[["doc_id", "epoch", "words"]].values.tolist() == b[["doc_id", "epoch", "words"]].values.tolist()
-    assert a["position"].tolist() == pytest.approx(b["position"].tolist(), abs=1e-9) and a["source"].tolist() == b["source"].tolist()
-    assert mine["position"].is_monotonic_increasing and mine["position"].between(0, 1).all()
+    """The registered query has rank and positions of the curriculum, and so has the pipeline's stage."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = corpus_pipeline.mix(spark, docs, SF).collect()
-    first = [r["position_1"] for r in rows if r["position_1"] is not None]
-    assert first == sorted(first) and all(r["position_1"] is None for r in rows[len(first) :]) and len(rows) == docs.count()
-    words = mine.groupby("doc_id")["words"].sum().to_dict()
-    assert all(r["taken"] == words.get(r["doc_id"], 0) for r in rows)
+    mine = mixing.op6_mixing(spark, SF).toPandas()
+    runs = mixing.curriculum(docs).toPandas()
+    assert runs["position"].is_monotonic_increasing and runs["position"].between(0, 1).all()
+    words = runs.groupby("doc_id")["words"].sum().to_dict()
+    first = [x for x in mine["position_1"] if x == x]
+    assert first == sorted(first) and len(mine) == docs.count() and all(x != x for x in mine["position_1"][len(first) :])
+    assert all(t == words.get(i, 0) for i, t in zip(mine["doc_id"], mine["taken"], strict=True))
+    at = {(r.doc_id, r.epoch): r.position for r in runs.itertuples()}
+    for e in range(3):
+        assert {i: x for i, x in zip(mine["doc_id"], mine[f"position_{e + 1}"], strict=True) if x == x} == {i: x for (i, k), x in at.items() if k == e}
+    stage = corpus_pipeline.mix(spark, docs, SF).toPandas()
+    assert stage["position_1"].dropna().tolist() == first
+
+
+@pytest.mark.parametrize("ramp", [-1.0, -0.5, 0.0, 0.5, 1.0])
+def test_position_inverts_the_integrated_schedule(spark, ramp):
+    """The numeric integral of the schedule up to a position is the demand that the position was computed for."""
+    target, steps = 1000, 20_000
+    weight = [1 + ramp * (2 * (i + 0.5) / steps - 1) for i in range(steps)]
+    rows = spark.range(0, target + 1, 50).select("id", mixing.position(F.col("id"), F.lit(target), ramp).alias("t")).collect()
+    for r in rows:
+        n = int(r["t"] * steps)
+        part = sum(weight[:n]) + (r["t"] * steps - n) * (weight[n] if n < steps else 0)
+        assert part / steps * target == pytest.approx(r["id"], abs=0.2)
 
 
 def test_mixing_caps_and_curriculum(spark):
