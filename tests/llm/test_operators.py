@@ -52,13 +52,38 @@ def test_quality_rules_base(spark, table):
         assert not (failed and r["kept"])
 
 
-def test_quality_model_separates():
-    patterns = [("1111", 900), ("0111", 40), ("0011", 40), ("2111", 20)]
-    m = quality_rules.fit(patterns, 4)
-    assert quality_rules.posterior(m, "1111") > 0.9 > 0.5 > quality_rules.posterior(m, "0011")
+def test_quality_model_recovers_planted_accuracies():
+    """EM over synthetic votes finds the share of good texts and each rule's rates, and one weak bad vote doesn't decide."""
+    rnd = random.Random(12)
+    planted = [(0.9, 0.01), (0.8, 0.02), (0.7, 0.05), (0.6, 0.1), (0.45, 0.3)]  # chance of a bad vote on bad and on good texts
+    votes = Counter()
+    for _ in range(20_000):
+        good = rnd.random() < 0.85
+        cast = [quality_rules.BAD if rnd.random() < p[good] else quality_rules.GOOD for p in planted]
+        votes["".join(str(quality_rules.ABSTAIN if rnd.random() < 0.2 else v) for v in cast)] += 1
+    m = quality_rules.fit(sorted(votes.items()), len(planted))
+    assert m["prior"] == pytest.approx(0.85, abs=0.02)
+    for r, (on_bad, on_good) in enumerate(planted):
+        assert m["bad"][quality_rules.BAD][r] == pytest.approx(on_bad, abs=0.05) and m["bad"][quality_rules.GOOD][r] == pytest.approx(on_good, abs=0.02)
+    p = lambda x: quality_rules.posterior(m, x)
+    assert p("11110") > 0.9 and p("11101") > 0.5 and p("00111") < 0.5 and p("22222") == pytest.approx(m["prior"])
     assert quality_rules.fit([], 4)["prior"] == 0.5
 
 
+def test_quality_verdicts_on_labels(spark):
+    """The posterior, not a single vote, decides: labelled bad texts go, good ones stay, and so do most with one bad vote."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    d = quality_rules.quality_rules(spark.read.parquet(f"{path}/documents.parquet")).where("NOT base_failed")
+    rows = d.join(spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").collect()
+    n_bad = lambda r: sum(r[c] == quality_rules.BAD for c in r.asDict() if c.startswith("vote_"))
+    bad, good = ([r["kept"] for r in rows if r["quality"] == y] for y in (0, 1))
+    one = [r["kept"] for r in rows if n_bad(r) == 1]
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good) and len(one) > 10 and sum(one) >= 0.8 * len(one)
+    assert all(r["kept"] == (r["p_good"] >= 0.5) for r in rows)
+
+
 def test_license_base(spark, table):
     odd = [(10_000, None), (10_001, "Under the MIT license; UNDER the mit-license"), (10_002, "CC BY-NC 4.0 and Apache License, Version 2.0"), (10_003, "")]
     d = spark.createDataFrame(table + odd, "doc_id long, text string")
