@@ -124,7 +124,7 @@ def test_myers_and_pigeonhole(spark):
         a, b = ([rnd.choice("abcd") for _ in range(n)] for n in (rnd.randint(1, 90), rnd.randint(0, 120)))
         assert decontamination.myers(a, b, 999) == edit(a, b)
     vocab = [f"w{i}" for i in range(40)]
-    items = [(i, [rnd.choice(vocab) for _ in range(rnd.choice((5, 20, 45)))]) for i in range(6)]
+    items = [(i, [rnd.choice(vocab) for _ in range(n)]) for i, n in enumerate((2, 5, 20, 45, 45, 20))]
     texts = [None, "", "w1"]
     for i, w in itertools.product(range(6), range(5)):
         q = list(items[i][1])
@@ -140,7 +140,20 @@ def test_myers_and_pigeonhole(spark):
             e = edit(w, (t or "").lower().split())
             if e <= len(w) // 10:
                 want.add((n, i, e))
-    assert got == want and want
+    assert got == want and want and any(i == 0 for _, i, _ in got)
+
+
+def test_decontamination_odd_items(spark):
+    """Scripts without blanks, items without an id, of one word, of over 1 MiB; several rows of one id."""
+    item = "私は昨日の朝東京駅で古い友人に会いました"
+    texts = [f"前置き。{item}。終わり", item.replace("古", "新"), item[:9], "there is a needle here", "needles", None]
+    b = spark.createDataFrame([(1, item), (None, "needle"), (4, "!?"), (5, "zz yy xx"), (5, "a needle")], "item_id long, text string")
+    d = frame(spark, texts)
+    got = {(r["doc_id"], h["item_id"], h["errors"]) for r in decontamination.decontaminate(d, b, rate=0.05).collect() for h in r["hits"]}
+    assert got == {(0, 1, 0), (1, 1, 1), (3, None, 0), (3, 5, 0)}
+    assert [r["doc_id"] for r in decontamination.without_leaks(d, b, rate=0.05).orderBy("doc_id").collect()] == [2, 4, 5]
+    long = " ".join(f"w{i}" for i in range(140_000)).encode()  # one piece of over 1 MiB
+    assert decontamination.Matcher([(3, long)], 0.0).find(b"x y " + long + b" z") == {3: 0}
 
 
 def test_toxicity_held_out(spark):
