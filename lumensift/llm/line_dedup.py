@@ -1,10 +1,10 @@
 """Line dedup over overlapping windows of three lines (DataFrame functions only).
 
-Every three consecutive lines of a text are hashed together. A window found more than once in the corpus is kept
+Every three consecutive lines of a text are hashed together, twice with different seeds (128 bits). A window found more than once in the corpus is kept
 where it comes first (by doc_id, then by position) and removed elsewhere; the removed windows of a text are merged,
 so that overlapping ones take out one run of lines.
 
-Scale: one row per window of 24 bytes is aggregated by hash with map-side combining (a window that a third of all
+Scale: one row per window of 40 bytes is aggregated by hash with map-side combining (a window that a third of all
 documents share becomes one row per task), and joined back under AQE's skew handling. Texts are shuffled only by
 document, and only those that lose lines are rebuilt.
 
@@ -24,11 +24,11 @@ WINDOW = 3
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per window: _id, _h (hash of the whole text), pos (line from 0), w (hash of the three lines)."""
+    """One row per window: _id, _h (hash of the whole text), pos (line from 0), w (two hashes of the three lines)."""
     lines = F.split(text_col, "\n")
     # a line's hash, null where nothing is visible; a window without any visible line is left out
-    seen = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(F.translate(x, BLANKS, "")) > 0).alias("v")))
-    three = lambda a, i: F.when(F.get(a, i).getField("v") | F.get(a, i + 1).getField("v") | F.get(a, i + 2).getField("v"), F.xxhash64(*[F.get(a, i + k).getField("h") for k in range(WINDOW)]))
+    seen = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(WINDOW), x).alias("k"), (F.length(F.translate(x, BLANKS, "")) > 0).alias("v")))
+    three = lambda a, i: F.when(F.get(a, i).getField("v") | F.get(a, i + 1).getField("v") | F.get(a, i + 2).getField("v"), F.struct(*[F.xxhash64(*[F.get(a, i + k).getField(c) for k in range(WINDOW)]).alias(c) for c in "hk"]))
     hashed = bound_once(seen, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - WINDOW), lambda i: three(a, i)))
     many = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) >= WINDOW - 1
     d = docs.where(many).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(hashed).alias("pos", "w"))
