@@ -51,7 +51,6 @@ SEEDS = 2  # blocks scored before the k-th best cosine is known
 FREQUENT, MAX_DENSE = 16, 512  # terms that over a FREQUENT-th of the examples hold have a dense row, MAX_DENSE at most
 BATCH = 256  # texts scored at a time
 MAX_INDEX_ENTRIES = 40_000_000
-MEMO_TOKENS = 200_000
 EPS = 1e-9
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,22 +68,16 @@ class Vocabulary:
     """Numbers of terms; a text becomes the numbers and counts of its terms."""
 
     def __init__(self, numbers: dict[str, int]):
-        self.numbers, self.memo = numbers, {}
+        self.numbers = numbers
 
-    def __reduce__(self):
-        return Vocabulary, (self.numbers,)
+    def present(self, text: str | None) -> set[int]:
+        found = set(map(self.numbers.get, _WORD.findall((text or "").lower())))
+        found.discard(None)
+        return found
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        counts: dict[int, int] = {}
-        memo = self.memo
-        if len(memo) > MEMO_TOKENS:
-            memo.clear()
-        for token, n in Counter((text or "").split()).items():
-            held = memo.get(token)
-            if held is None:  # a token between blanks may hold several words, or none
-                held = memo[token] = tuple(self.numbers[w] for w in _WORD.findall(token.lower()) if w in self.numbers)
-            for t in held:
-                counts[t] = counts.get(t, 0) + n
+        counts = Counter(map(self.numbers.get, _WORD.findall((text or "").lower())))
+        counts.pop(None, None)
         return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
 
 
@@ -229,13 +222,12 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
 
     def count(batches):
         v = shared.value
-        n = np.zeros(len(v.numbers) + 1, np.int64)  # the last one counts rows
+        n: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                n[v.count(t.as_py())[0]] += 1
-            n[-1] += b.num_rows
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["term", "n"])
+                n.update(v.present(t.as_py()))
+            n[len(v.numbers)] += b.num_rows  # the last number counts rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
     sums = docs.select(F.col(text_col)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(len(vocabulary.numbers) + 1, np.int64)
