@@ -423,8 +423,9 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(spark, table, hot):
+@pytest.mark.parametrize(("hot", "block"), [(20_000, 65_536), (1, 65_536), (20_000, 40)])
+def test_suffix_dedup(spark, table, monkeypatch, hot, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_SORTED", block)
     rnd = random.Random(4)
     passage = "".join(rnd.choice("abcdé ") for _ in range(260))
     texts = [t for _, t in table][:80] + [None, "", "a" * 500, "ab" * 300, passage[:199], passage[10:240] + "!"]
@@ -433,6 +434,23 @@ def test_suffix_dedup(spark, table, hot):
     assert [got[i] for i in range(len(texts))] == brute_suffix([(t or "").encode() for t in texts], 200)
 
 
+def test_suffix_ranks_are_verified(monkeypatch):
+    """Windows are found as by brute force, also where every rank collides."""
+    rnd = random.Random(2)
+    base = bytes(rnd.choice(b"ab") for _ in range(32))
+    contexts = []
+    for n in range(30):
+        x = bytearray(base)
+        x[rnd.randrange(32)] = ord("c")
+        left = rnd.choice((12, 12, 5))
+        contexts.append((n % 3, 7, left, bytes(x[12 - left :])))
+    at = lambda c, s: c[3][s - 12 + c[2] : s - 12 + c[2] + 20] if s - 12 + c[2] >= 0 else b""
+    want = [[len(at(c, s)) == 20 and any(d is not c and d[0] == c[0] and at(d, s) == at(c, s) for d in contexts) for s in range(13)] for c in contexts]
+    assert suffix_dedup.repeated_windows(contexts, 20, 8).tolist() == want and any(map(any, want))
+    monkeypatch.setattr(suffix_dedup, "pair", lambda a, b: (a + b) * 0)
+    assert suffix_dedup.repeated_windows(contexts, 20, 8).tolist() == want
+
+
 def test_cotraining_held_out(spark):
     rnd = random.Random(8)
     rows, labels = [], []
