@@ -1,18 +1,21 @@
 """Quality classifier by co-training two views of a page.
 
-The content view sees hashed words and word shapes; the metadata view sees the page's measurements (length, lines,
-shares of symbols, capitals, digits, bars, repeated lines, ...), its language and its source. Each is a logistic
-regression. Over a few rounds each view labels the unlabelled texts it is most sure of, in the proportion of the
-classes, for the other view to learn from. Both are then calibrated on labelled texts that neither learned from, and
-the sum of their calibrated log odds scores every document.
-
-Learning reads at most `max_labelled` labelled and `max_pool` unlabelled texts, the first by digest of their id (both
-are parameters), so that the driver's share is bounded; scoring is one streaming pass over all whole texts, without a
-shuffle.
+The content view sees the text only: hashed words and word shapes, and its measurements. The metadata view sees only what is known of the
+page without its text: columns such as language, source and size. Each is a logistic regression, calibrated on
+labelled texts that neither learned from. Over a few rounds both views score every unlabelled document of the table,
+and each gives the other the documents that it is surest of, in the proportion of the classes and as many as a share
+of the labelled rows, as labels to learn from. The sum of the calibrated log odds scores every document; a view that
+can't tell the classes apart is calibrated to odds of nearly nothing, gives no labels and has no say.
+
+Scale: at most `max_labelled` labelled rows are learned from, the first of each class by digest of their id (a
+parameter). All else covers the whole table: one streaming pass writes each document's features (at most DIM hashed
+counts, so that what reaches the driver is bounded for texts of any length), every round streams through them and
+keeps a bounded number of the surest, and a last pass scores all whole texts. No text is shuffled.
 
 Defined results: null texts count as empty; without labels of both classes every score is 0.5 and nothing is
-rejected; null labels are not used; repeated rows each get the same row; an empty table gives an empty result; other
-columns are ignored (null language or source is a value of its own).
+rejected; null labels are not used; rows without id are scored, but not learned from; repeated rows each get the same
+row; an empty table gives an empty result; other columns are ignored (a null in a metadata column is a value of its
+own).
 """
 
 from __future__ import annotations
@@ -20,22 +23,26 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import discard, read, saved
 from .per_document import map_documents
 
 MAX_LABELLED = 2000
-MAX_POOL = 2000
 ROUNDS = 4
-TAKE = 40  # pseudo-labels a view gives in each round
-DIM = 1 << 12
+SHARE = 5  # a view gives up to a SHARE-th of the rows learned from in each round
+SURE = 2.0  # least calibrated log odds of a label that a view gives
+DIM, META_DIM = 1 << 12, 1 << 9
+MEASURE = 0.3  # weight of a measurement beside the words' vector of unit length
+STEPS = 8  # a measurement falls into one of STEPS steps
 REJECT_BELOW = 0.5
+METADATA = ("lang", "source", "n_chars")
 _DIGIT_RUN, _UPPER_RUN, _LOWER_RUN = re.compile(r"\d+"), re.compile(r"[A-Z]+"), re.compile(r"[a-zß-ÿ]+")
-META_DIM = 16 + 64
 
 
 class _Features(dict):
@@ -45,49 +52,59 @@ class _Features(dict):
         if len(self) > 300_000:
             self.clear()
         shape = _LOWER_RUN.sub("a", _UPPER_RUN.sub("A", _DIGIT_RUN.sub("0", tok)))[:12]
-        found = self[tok] = (zlib.crc32(b"s" + shape.encode()) % DIM, zlib.crc32(b"w" + tok.lower().encode()) % DIM)
+        found = self[tok] = (zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % DIM, zlib.crc32(b"w" + tok.lower().encode("utf-8", "replace")) % DIM)
         return found
 
 
 _features = _Features()
 
 
-def content_view(text: str) -> tuple[list[int], list[float]]:
-    """Hashed shapes and words, log counts, unit length."""
-    counts: dict[int, int] = {}
+def measured(text: str) -> list[int]:
+    """Steps of the text's measurements: shares of symbols, bars, exclamation marks, capitals and digits, of lines that
+    occurred before and of lines with an end mark, length of words."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    words, n, n_lines = max(1, len(text.split())), max(1, len(text)), max(1, len(lines))
+    raw = text.encode("utf-8", "replace")
+    upper, digits = (len(raw) - len(raw.translate(None, x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
+    shares = (
+        sum(map(text.count, "#*$%&<>")) / words,
+        text.count("|") / words,
+        text.count("!") / words,
+        2 * upper / n,
+        2 * digits / n,
+        1 - len(set(lines)) / n_lines,
+        sum(x.rstrip()[-1:] in tuple(".!?:;") for x in lines) / n_lines,
+        n / words / 20,
+    )
+    # steps are finer for small shares
+    return [DIM + i * STEPS + min(STEPS - 1, int(STEPS * x**0.5)) for i, x in enumerate(shares)]
+
+
+def content_view(text: str) -> bytes:
+    """Features of a text (two bytes each), then their counts up to 255 (one byte each)."""
+    counts: dict[int, int] = dict.fromkeys(measured(text), 1)
     for tok, n in Counter(text.split()).items():
         for i in _features[tok]:
             counts[i] = counts.get(i, 0) + n
-    if not counts:
-        return [], []
-    v = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
-    return list(counts), v / np.sqrt(v @ v)
+    at = np.fromiter(counts, np.uint16, len(counts))
+    return at.tobytes() + np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), 255).astype(np.uint8).tobytes()
 
 
-def metadata_view(text: str, lang: str | None, source: str | None) -> tuple[list[int], list[float]]:
-    lines = text.split("\n")
-    n = max(1, len(text))
-    words = max(1, len(text.split()))
-    raw = text.encode("utf-8", "replace")
-    upper, digits = (len(raw) - len(raw.translate(None, x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
-    lengths = [
-        1.0,
-        np.log1p(len(text)) / 10,
-        np.log1p(len(lines)) / 5,
-        np.log1p(len(text) / len(lines)) / 8,
-        min(3.0, len(text) / words / 6),
-        min(3.0, 10 * sum(map(text.count, "#*$%&<>")) / words),
-        min(3.0, 4 * upper / n),
-        min(3.0, 10 * digits / n),
-        min(3.0, 10 * text.count("|") / words),
-        min(3.0, 10 * text.count("!") / words),
-        min(3.0, 5 * text.count(".") / words),
-        min(3.0, 5 * text.count(",") / words),
-        1 - len(set(lines)) / len(lines),
-        sum(x.rstrip()[-1:] in tuple(".!?:;") for x in lines) / len(lines),
-    ]
-    extra = [16 + zlib.crc32(f"l{lang}".encode()) % 32, 48 + zlib.crc32(f"s{source}".encode()) % 32]
-    return [*range(len(lengths)), *extra], [*lengths, 0.3, 0.1]
+def unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features, and log counts of unit length for words and shapes, MEASURE for measurements."""
+    n = len(content) // 3
+    at = np.frombuffer(content, np.uint16, n).astype(np.int64)
+    v = 1 + np.log(np.frombuffer(content, np.uint8, n, 2 * n).astype(np.float64))
+    v[at >= DIM] = 0
+    v /= np.sqrt(v @ v) or 1
+    v[at >= DIM] = MEASURE
+    return at, v
+
+
+def metadata_view(values: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """One feature for each column: its value, or the half power of two that a number lies in."""
+    kinds = [f"{round(2 * np.log2(1 + max(0, v)))}" if isinstance(v, (int, float)) else f"{v}" for v in values]
+    return np.array([zlib.crc32(f"{i} {k}".encode("utf-8", "replace")) % META_DIM for i, k in enumerate(kinds)], np.int64), np.ones(len(kinds))
 
 
 class View:
@@ -98,30 +115,34 @@ class View:
         self.b = 0.0
         self.scale, self.shift = 1.0, 0.0
 
-    def raw(self, row: tuple[list[int], list[float]]) -> float:
-        return float(self.w[row[0]] @ np.asarray(row[1]) + self.b) if row[0] else self.b
+    def raw(self, row: tuple[np.ndarray, np.ndarray]) -> float:
+        return float(self.w[row[0]] @ row[1]) + self.b
 
     def fit(self, rows: list, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 300, rate: float = 4.0) -> None:
         owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        at = np.fromiter((i for r in rows for i in r[0]), int)
-        x = np.fromiter((v for r in rows for v in r[1]), float)
+        at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
         self.w[:] = 0
         self.b = 0.0
         vw, vb, weight = np.zeros_like(self.w), 0.0, weight / weight.sum()
         for _ in range(steps):
             z = np.bincount(owner, x * self.w[at], len(rows)) + self.b
             g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-            vw = 0.9 * vw - rate * 0.1 * (np.bincount(at, x * g[owner], len(self.w)) + ridge * self.w) * 10
-            vb = 0.9 * vb - rate * 0.1 * g.sum() * 10 * 0.2
+            vw = 0.9 * vw - rate * (np.bincount(at, x * g[owner], len(self.w)) + ridge * self.w)
+            vb = 0.9 * vb - rate * g.sum() * 0.2
             self.w = np.clip(self.w + vw, -60, 60)
             self.b = float(np.clip(self.b + vb, -60, 60))
 
     def calibrate(self, rows: list, y: np.ndarray, weight: np.ndarray) -> None:
-        z = np.array([self.raw(r) for r in rows])
-        a, c = 1.0, 0.0
-        for _ in range(200):
-            g = weight / weight.sum() * (1 / (1 + np.exp(-np.clip(a * z + c, -40, 40))) - y)
-            a, c = max(0.05, a - 0.5 * ((g * z).sum() + 0.01 * (a - 1))), c - 0.5 * (g.sum() + 0.01 * c)
+        """Scale and shift of the log odds by Newton steps; a ridge pulls a view that can't tell to a scale of 0."""
+        z = np.clip([self.raw(r) for r in rows], -30, 30)
+        weight = weight / weight.sum() * len(y)
+        a, c = 0.5, 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
+            g, h = weight * (p - y), weight * p * (1 - p)
+            grad = np.array([(g * z).sum() + 0.5 * a, g.sum() + 0.5 * c])
+            step = np.linalg.solve(np.array([[(h * z * z).sum() + 0.5, (h * z).sum()], [(h * z).sum(), h.sum() + 0.5]]), grad)
+            a, c = max(0.0, a - np.clip(step[0], -1, 1)), c - np.clip(step[1], -1, 1)
         self.scale, self.shift = float(a), float(c)
 
     def odds(self, row) -> float:
@@ -129,13 +150,14 @@ class View:
 
 
 class Model:
-    def __init__(self, views: list[View] | None, prior: float = 0.0):
-        self.views, self.prior = views, prior
+    def __init__(self, views: list[View] | None, prior: float = 0.0, given: int = 0):
+        """prior: log odds of the classes, which both views' odds hold; given: labels that the views gave each other."""
+        self.views, self.prior, self.given = views, prior, given
 
-    def score(self, text: str, lang: str | None, source: str | None) -> float:
+    def score(self, text: str, metadata: tuple) -> float:
         if self.views is None:
             return 0.5
-        z = self.views[0].odds(content_view(text)) + self.views[1].odds(metadata_view(text, lang, source)) - self.prior
+        z = self.views[0].odds(unpacked(content_view(text))) + self.views[1].odds(metadata_view(metadata)) - self.prior
         return float(1 / (1 + np.exp(-z)))
 
 
@@ -144,66 +166,101 @@ def balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
 
 
-def cotrain(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS, take: int = TAKE) -> Model:
-    """labelled: (text, lang, source, y); pool: (text, lang, source). Every fourth labelled text only calibrates."""
-    learn, check = [r for n, r in enumerate(labelled) if n % 4], labelled[::4]
-    if any(len({r[3] for r in part}) < 2 for part in (learn, check)):
-        return Model(None)
-    kinds = [lambda t, l, s: content_view(t), metadata_view]
-    sets = [[(k(*r[:3]), r[3]) for r in learn] for k in kinds]
-    pools = [[k(*r) for r in pool] for k in kinds]
-    free = set(range(len(pool)))
-    views = [View(DIM), View(META_DIM)]
+def both(content: bytes, metadata: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [unpacked(content), metadata_view(metadata)]
 
-    def refit(v: int) -> None:
-        y = np.array([c for _, c in sets[v]], float)
-        views[v].fit([r for r, _ in sets[v]], y, balanced(y))
 
-    good = sum(r[3] for r in learn) / len(learn)
-    for _ in range(rounds):
-        for v in (0, 1):
-            refit(v)
-        for v in (0, 1):
-            ranked = sorted(free, key=lambda i: (views[v].raw(pools[v][i]), i))
-            n_good = max(1, round(take * good))
-            n_bad = max(1, take - n_good)
-            sure = [(i, 0) for i in ranked[:n_bad] if views[v].raw(pools[v][i]) < -1] + [(i, 1) for i in ranked[::-1][:n_good] if views[v].raw(pools[v][i]) > 1]
-            for i, y in sure:
-                if i in free:
-                    free.discard(i)
-                    sets[1 - v].append((pools[1 - v][i], y))
-    y = np.array([r[3] for r in check], float)
-    for v in (0, 1):
-        refit(v)
-        views[v].calibrate([kinds[v](*r[:3]) for r in check], y, balanced(y))
-    return Model(views)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
+def learned(learn: list[list[tuple]], check: list[tuple], share: dict[int, int]) -> list[View]:
+    """A fitted and calibrated view of each kind. learn: of each view its rows (features, label); check: (features of
+    both views, label); share: labelled rows of each class, which its calibration rows stand for."""
+    views = [View(DIM + 8 * STEPS), View(META_DIM)]
+    for v, view in enumerate(views):
+        y = np.array([c for _, c in learn[v]], float)
+        view.fit([r for r, _ in learn[v]], y, balanced(y))
+        y = np.array([c for _, c in check], float)
+        view.calibrate([r[v] for r, _ in check], y, np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum()))
+    return views
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = METADATA, label_col: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.min("y").alias("y"))
     order = F.md5(F.col("i").cast("string"))
     half = max_labelled // 2
-    picked = lab.where("y = 0").orderBy(order, "i").limit(half).unionByName(lab.where("y = 1").orderBy(order, "i").limit(half))
-    d = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")).where("i IS NOT NULL")
-    # rows picked by id first (narrow), so that only bounded numbers of texts move
-    pool_ids = d.select("i").join(lab.select("i"), "i", "left_anti").distinct().orderBy(order, "i").limit(max_pool)
-    wanted = F.broadcast(picked.unionByName(pool_ids.withColumn("y", F.lit(-1))))  # at most max_labelled + max_pool ids
-    rows = d.join(wanted, "i").groupBy("i", "y").agg(F.max(F.struct("t", "l", "s")).alias("r"))
-
-    views = rows.select("i", "y", F.col("r.t").alias("t"), "r.l", "r.s")
-    got = sorted(((zlib.crc32(str(r["i"]).encode()), r["i"], r["y"], r["t"], r["l"], r["s"]) for r in views.toLocalIterator()), key=lambda r: r[:3])
-    return cotrain([(t, l, s, y) for _, _, y, t, l, s in got if y >= 0], [(t, l, s) for _, _, y, t, l, s in got if y < 0])
+    share = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
+    picked = saved(lab.where("y = 0").orderBy(order, "i").limit(half).unionByName(lab.where("y = 1").orderBy(order, "i").limit(half)), "quality-labels")
+    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{n}") for n, c in enumerate(meta_cols)]).where("i IS NOT NULL")
+    meta = [f"m{n}" for n in range(len(meta_cols))]
+    kinds = ", ".join(f"{m} {d.schema[m].dataType.simpleString()}" for m in meta)
+    one = lambda i, t, *m: (i, content_view(t or ""), *m)
+    table = saved(map_documents(d, dict.fromkeys(("i", "t", *meta), "value"), one, f"i long, x binary, {kinds}"), "quality-features")
+    try:
+        return cotrain(table, meta, picked, share, rounds)
+    finally:
+        discard(table, picked)
+
+
+def rows_of(table: DataFrame, meta: list[str], wanted: DataFrame) -> list[tuple]:
+    """(id, label, features of both views) of the rows of table named in wanted (bounded: i, y)."""
+    found = table.join(F.broadcast(wanted), "i").groupBy("i", "y").agg(F.max(F.struct("x", *meta)).alias("r")).collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"]))
+    return [(r["i"], r["y"], both(bytes(r["r"]["x"]), tuple(r["r"][m] for m in meta))) for r in found]
+
+
+def cotrain(table: DataFrame, meta: list[str], picked: DataFrame, share: dict[int, int], rounds: int) -> Model:
+    labelled = rows_of(table, meta, picked)  # at most max_labelled rows
+    classes = [[(x, y) for _, y, x in labelled if y == c] for c in (0, 1)]
+    if min(map(len, classes)) < 2:
+        return Model(None)
+    # every fourth row of each class only calibrates
+    check = [r for part in classes for r in part[::4]]
+    rest = [r for part in classes for n, r in enumerate(part) if n % 4]
+    learn = [[(x[v], y) for x, y in rest] for v in (0, 1)]
+    good = sum(y for _, y in rest) / len(rest)
+    take = max(4, len(rest) // SHARE)
+    n_good = min(take - 1, max(1, round(take * good)))
+    pool = table.join(F.broadcast(picked.select("i")), "i", "left_anti")
+    taken: set[int] = set()
+    views = learned(learn, check, share)
+    for _ in range(rounds):
+        shared = table.sparkSession.sparkContext.broadcast(views)
 
+        def score(batches):
+            for b in batches:
+                i, x, *m = (c.to_pylist() for c in b.columns)
+                z = [[v.odds(r) for v, r in zip(shared.value, both(c, values), strict=True)] for c, values in zip(x, zip(*m, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), *(pa.array([r[v] for r in z], pa.float64()) for v in (0, 1))], names=["i", "z0", "z1"])
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reject_below: float = REJECT_BELOW) -> DataFrame:
+        scored = saved(pool.select("i", "x", *meta).mapInArrow(score, "i long, z0 double, z1 double"), "quality-scores")
+        free = scored.where(~F.col("i").isin(sorted(taken))) if taken else scored
+        sure = []
+        for v in (0, 1):
+            for y, n in ((0, take - n_good), (1, n_good)):
+                z = F.col(f"z{v}") * (2 * y - 1)
+                top = free.where(z >= SURE).groupBy("i").agg(F.min(z).alias("z")).orderBy(F.desc("z"), "i").limit(n)
+                sure.append(top.select("i", F.lit(y).alias("y"), F.lit(v).alias("v")))
+        given = reduce(DataFrame.unionByName, sure).collect()  # at most twice `take` rows
+        discard(scored)
+        label = {r["i"]: (r["y"], r["v"]) for r in reversed(given)}  # a document that both name is the content view's
+        if not label:
+            break
+        taken.update(label)
+        ids = table.sparkSession.createDataFrame([(i, y) for i, (y, _) in label.items()], "i long, y int")
+        for i, y, x in rows_of(table, meta, ids):
+            other = 1 - label[i][1]
+            learn[other].append((x[other], y))
+        views = learned(learn, check, share)
+    return Model(views, float(np.log(share[1] / share[0])), len(taken))
+
+
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = METADATA, reject_below: float = REJECT_BELOW) -> DataFrame:
     """Per row: doc_id, _h (hash of the text), score (probability of being good), kept."""
 
-    def one(doc_id, h, text, lang, source):
-        score = model.score(text or "", lang, source)
+    def one(doc_id, h, text, *metadata):
+        score = model.score(text or "", metadata)
         return doc_id, h, score, score >= reject_below
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"))
-    return map_documents(d, dict.fromkeys(("doc_id", "h", "t", "l", "s"), "value"), one, "doc_id long, _h long, score double, kept boolean")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{n}") for n, c in enumerate(meta_cols)])
+    return map_documents(d, dict.fromkeys(d.columns, "value"), one, "doc_id long, _h long, score double, kept boolean")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,14 +268,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, read(spark, sf_dir, "labels"))).drop("_h")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reject_below: float = REJECT_BELOW) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tuple[str, ...] = METADATA, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of docs, all columns, that the classifier doesn't reject; texts are not shuffled."""
-    import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            texts, langs, sources = (b.column(b.schema.get_field_index(c)) for c in (text_col, lang_col, source_col))
-            keep = [model.score(t.as_py() or "", l.as_py(), s.as_py()) >= reject_below for t, l, s in zip(texts, langs, sources, strict=True)]
+            texts, *metadata = (b.column(b.schema.get_field_index(c)) for c in (text_col, *meta_cols))
+            keep = [model.score(t.as_py() or "", tuple(x.as_py() for x in m)) >= reject_below for t, *m in zip(texts, *metadata, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

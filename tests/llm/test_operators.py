@@ -457,15 +457,51 @@ def test_cotraining_held_out(spark):
     for i in range(500):
         w = ["".join(rnd.choice("aeiourstln") for _ in range(rnd.randint(2, 8))) for _ in range(60)]
         bad = i % 5 == 0
-        rows.append((i, " ".join(x.upper() + "!!" for x in w) if bad else " ".join(w).capitalize() + ".", "en", "s"))
+        rows.append((i, " ".join(x.upper() + "!!" for x in w) if bad else " ".join(w).capitalize() + ".", "en", "s", 9))
         if i < 300:
             labels.append((i, 0 if bad else 1))
-    rows += [(900, None, None, None), (901, "", "en", "s")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows += [(900, None, None, None, None), (901, "", "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
     lab = spark.createDataFrame(labels + [(None, 1), (7, None)], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in cotraining.classify(d, cotraining.fit(d, lab)).collect()}
     assert all(out[i]["kept"] == (i % 5 != 0) for i in range(300, 500))
     assert {r["score"] for r in cotraining.classify(d, cotraining.fit(d, lab.limit(0))).collect()} == {0.5}
+    few = spark.createDataFrame([(i, int(i % 5 > 0)) for i in (0, 5, 1, 2, 3, 4)], "doc_id long, quality int")
+    assert cotraining.fit(d, few).views is not None
+
+
+def test_cotraining_exchange_helps(spark):
+    """Each view alone knows part: labels that they give each other lower the held-out errors."""
+    rnd = random.Random(4)
+    rows, truth = [], {}
+    for i in range(1200):
+        bad = rnd.random() < 0.4
+        n = rnd.randrange(20) + 20 * (bad if rnd.random() < 0.95 else not bad)  # a page's source mostly tells its class
+        t = [f"{'x' if bad else 'y'}{rnd.randrange(300)}" if rnd.random() < 0.3 else f"z{rnd.randrange(200)}" for _ in range(25)]
+        rows.append((i, " ".join(t), "en", f"s{n}", 100))
+        truth[i] = int(not bad)
+    d = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, truth[i]) for i in range(80)], "doc_id long, quality int")
+    errors = []
+    for rounds in (0, 4):
+        m = cotraining.fit(d, lab, rounds=rounds)
+        assert (m.given > 0) == (rounds > 0)
+        errors.append(sum(r["kept"] != truth[r["doc_id"]] for r in cotraining.classify(d, m).where("doc_id >= 80").collect()))
+    assert errors[1] < 0.8 * errors[0], errors
+
+
+def test_cotraining_on_labels(spark):
+    """Held-out labels of sf0.1: every fifth is not learned from."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet").where("quality IS NOT NULL")
+    m = cotraining.fit(docs, labels.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 > 0"), rounds=1)
+    held = labels.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0").select("doc_id", "quality")
+    out = cotraining.classify(docs.join(held.select("doc_id"), "doc_id", "left_semi"), m).join(held, "doc_id").collect()
+    bad, good = ([r["kept"] for r in out if r["quality"] == y] for y in (0, 1))
+    assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.99 * len(good), (sum(bad), len(bad), sum(good), len(good))
 
 
 ODD = [None, "", "a", "same text here " * 9, "same text here " * 9, "x y\n" * 30_000, "\n", "é" * 300]
