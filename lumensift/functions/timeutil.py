@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?$"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -17,37 +20,39 @@ ORIGIN = 62_135_596_800_000_000
 
 def parse_time(text: Column, dates: bool = False) -> Column:
     """TIMESTAMP of RFC 3339 text or `yyyy-MM-dd HH:mm:ss[.,fff]` (no zone means UTC), else null."""
-    ok = text.rlike(ZONED) | text.rlike(PLAIN)
-    if dates:
-        ok = ok | text.rlike(DATE)
-    return F.when(ok, F.try_to_timestamp(F.concat(F.regexp_replace(text, ",", "."), F.when(text.rlike(ZONED), "").otherwise("Z"))) if not dates else F.try_to_timestamp(F.concat(F.regexp_replace(text, ",", "."), F.when(text.rlike(ZONED), "").when(text.rlike(DATE), " 00:00:00Z").otherwise("Z"))))
+    point = F.regexp_replace(text, ",", ".")
+    read = F.when(text.rlike(ZONED), F.try_to_timestamp(point)).when(text.rlike(PLAIN), F.try_to_timestamp(F.concat(point, F.lit("Z"))))
+    return read.when(text.rlike(DATE), F.try_to_timestamp(F.concat(point, F.lit(" 00:00:00Z")))) if dates else read
 
 
 def offset_seconds(text: Column) -> Column:
     """The UTC offset that the text itself names, in seconds."""
-    sign = F.when(F.regexp_extract(text, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
-    hours, minutes = (F.regexp_extract(text, r"T.*[+-](\d{2}):(\d{2})$", i).try_cast("int") for i in (1, 2))
-    return F.coalesce(sign * (hours * 3600 + minutes * 60), F.lit(0)).cast("long")
+    part = lambda z, at: F.substring(z, at, 2).try_cast("int")
+    seconds = lambda z: F.when(z.startswith("-"), -1).otherwise(1) * (part(z, 2) * 3600 + part(z, 5) * 60)
+    return let(F.regexp_extract(text, r"T.*([+-]\d{2}:\d{2})$", 1), lambda z: F.when(z == "", 0).otherwise(seconds(z))).cast("long")
 
 
 def rfc3339(micros: Column, offset: Column) -> Column:
     """RFC 3339 text at a UTC offset; the fraction loses trailing zeros."""
-    local = F.timestamp_micros(micros + offset * 1_000_000)
-    fraction = F.regexp_replace(F.date_format(local, ".SSSSSS"), r"\.?0+$", "")
     size = F.abs(offset)
     zone = F.when(offset == 0, "Z").otherwise(F.format_string("%s%02d:%02d", F.when(offset < 0, "-").otherwise("+"), F.floor(size / 3600), F.floor(size % 3600 / 60)))
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), fraction, zone)
+    return F.concat(F.regexp_replace(F.date_format(F.timestamp_micros(micros + offset * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), zone)
+
+
+def _rewritten(text: Column, micros: Callable[[Column], Column]) -> Column:
+    """RFC 3339 text, at the text's own offset, of what micros makes of the text's instant."""
+    read = let(F.unix_micros(parse_time(text)), lambda m: F.when(m.isNotNull(), F.struct(micros(m).alias("at"), offset_seconds(text).alias("offset"))))
+    return let(read, lambda x: rfc3339(x["at"], x["offset"]))
 
 
 def normalize_time(text: Column) -> Column:
     """RFC 3339 form in the text's own offset; unparsable text stays as it is."""
-    return F.coalesce(rfc3339(F.unix_micros(parse_time(text)), offset_seconds(text)), text)
+    return F.coalesce(_rewritten(text, lambda m: m), text)
 
 
 def bucket_start(text: Column, width: int) -> Column:
     """RFC 3339 start of the bucket of `width` microseconds, or null. Buckets count from year 1, as instants."""
-    micros = F.unix_micros(parse_time(F.trim(text)))
-    return rfc3339(micros - F.pmod(micros + F.lit(ORIGIN), F.lit(width)), offset_seconds(F.trim(text)))
+    return _rewritten(F.trim(text), lambda m: m - F.pmod(m + F.lit(ORIGIN), F.lit(width)))
 
 
 _UNITS = {"ns": 0.001, "us": 1, "µs": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}

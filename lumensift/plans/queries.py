@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.analysis import Analyzer, token_type
+from ..functions.binding import let
 from ..functions.highlight import highlights
 from ..functions.timeutil import normalize_time
 from ..operators import aggregate
@@ -75,12 +76,17 @@ def log_lines(spark, sf) -> DataFrame:
 def _log(fmt):
     def run(spark, sf):
         p = parse_lines(log_lines(spark, sf), fmt)
-        get = lambda n: F.nullif(d.string_value(d.first_field(n)), F.lit(""))
+        get = lambda n: let(let(d.first_field(n), d.string_value), lambda v: F.nullif(v, F.lit("")))
         return p.where("parsed").select("ext_id", *[get(n).alias(n) for n in ("message", "level", "timestamp", "user")])
 
     return run
 
 
+def _highlighted(docs: DataFrame, near: bool) -> DataFrame:
+    h = docs.select("doc_id", F.inline(F.array(highlights([B], near)))).where("field = 'text'")
+    return h.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), "fragment")
+
+
 def _events_docs(spark, sf) -> DataFrame:
     e = _read(spark, sf, "events").withColumn("timestamp", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     return d.from_table(e, "event_id", keyword=("event_type", "timestamp"), real=("value",))
@@ -137,7 +143,8 @@ QUERIES = {
     "group_hits_by_lang": lambda p, f: s.aggregations(documents_index(p, f), A, None, "lang", scope="all"),
     "group_by_time_5m": lambda p, f: aggregate.group(_events_docs(p, f), "time(5m)"),
     "group_by_time_7h": lambda p, f: aggregate.group(_events_docs(p, f), "time(7h)"),
-    "highlight_fragment": lambda p, f: documents_index(p, f).documents.select("doc_id", highlights([B]).alias("h")).where("h.field = 'text'").where(F.expr(f"lower(h.fragment) like '%{B}%'")).select("doc_id", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("stop"), "h.fragment"),
+    "highlight_fragment": lambda p, f: _highlighted(documents_index(p, f).documents, near=False),
+    "highlight_near": lambda p, f: _highlighted(documents_index(p, f).documents, near=True).where(~F.lower("fragment").contains(B)),
     "doc_summary": lambda p, f: d.from_table(_read(p, f, "documents").withColumn("raw", F.when(F.col("doc_id") % 2 == 0, F.col("text"))), "doc_id", text=("raw",), keyword=("source",), ext_id="source").select("doc_id", s.summary().alias("summary")),
     "field_projection": lambda p, f: documents_index(p, f).documents.select("doc_id", s.view(["lang", "n_chars"]).alias("v")).select("doc_id", F.col("v")["lang"].alias("lang"), F.col("v")["n_chars"].alias("n_chars")),
     "point_lookup": lambda p, f: documents_index(p, f).get(7).select("doc_id", d.string_value(d.first_field("source")).alias("source")),
@@ -196,10 +203,10 @@ def _any(*parts: str) -> str:
     return "(SELECT doc_id, max(s) AS s FROM (" + " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts) + ") GROUP BY doc_id HAVING max(s) > 0)"
 
 
-def _near(term: str) -> str:
+def _near(term: str, word: str = "term") -> str:
     """Edit distance of at most 1 in code points: an equal rest after dropping or replacing one place."""
     cut = lambda x: f"list_transform(range(6), lambda k: x[:k] || x[k + 2:])".replace("x[", f"{x}[")
-    return f"(term = '{term}' OR list_contains({cut('term')}, '{term}') OR list_contains({cut(f"('{term}')")}, term) OR (length(term) = {len(term)} AND len(list_filter(range({len(term)}), lambda k: term[k + 1] <> ('{term}')[k + 1])) <= 1))"
+    return f"({word} = '{term}' OR list_contains({cut(word)}, '{term}') OR list_contains({cut(f"('{term}')")}, {word}) OR (length({word}) = {len(term)} AND len(list_filter(range({len(term)}), lambda k: {word}[k + 1] <> ('{term}')[k + 1])) <= 1))"
 
 
 def _after(first: str, later: str, i: int, slop: int) -> str:
@@ -208,6 +215,7 @@ def _after(first: str, later: str, i: int, slop: int) -> str:
     return f"SELECT a.doc_id FROM {at(first, 'x')} a JOIN {at(later, 'y')} b ON a.doc_id = b.doc_id AND y - x - {i} BETWEEN 0 AND {slop}"
 
 
+_SPAN = r"[\p{L}\p{Nd}_-]+"  # a word that highlighting can mark
 _EMPTY = "SELECT 1::BIGINT AS doc_id, 1::DOUBLE AS score WHERE false"
 _AND = f"(SELECT a.doc_id, (a.s + b.s) / 2 AS s FROM {_hits(A)} a JOIN {_hits('ti')} b ON a.doc_id = b.doc_id)"
 _THRE = _many("starts_with(term, 'thre')")
@@ -263,6 +271,12 @@ ORACLES = {
     "group_by_time_5m": _bucket("5 minutes"),
     "group_by_time_7h": _bucket("7 hours"),
     "highlight_fragment": f"SELECT doc_id, i::BIGINT AS start, (i + {len(B)})::BIGINT AS stop, substring(text, greatest(i - 80, 0)::BIGINT + 1, 160) AS fragment FROM (SELECT *, instr(lower(text), '{B}') - 1 AS i FROM documents) WHERE i >= 0",
+    "highlight_near": rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{_SPAN}') AS ws, string_split_regex(text, '{_SPAN}') AS gaps FROM documents WHERE instr(lower(text), '{B}') = 0),
+k AS (SELECT *, list_position(list_transform(ws, lambda v: {_near(B, "lower(v)")}), true) AS k FROM w),
+p AS (SELECT doc_id, text, k, ws, (list_sum(list_transform(gaps[:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[:k - 1], lambda v: length(v))), 0))::BIGINT AS s FROM k WHERE k > 0),
+e AS (SELECT *, s + length(ws[k]) AS e, greatest(s - 80, 0) AS l FROM p),
+c AS (SELECT *, least(greatest(l + 160, e), length(text)) AS r FROM e)
+SELECT doc_id, s AS start, e AS stop, CASE WHEN length(text) <= 160 THEN text ELSE substring(text, greatest(l, r - 160)::BIGINT + 1, (r - greatest(l, r - 160))::BIGINT) END AS fragment FROM c""",
     "doc_summary": "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 AND trim(text) <> '' THEN CASE WHEN length(trim(text)) > 100 THEN substring(trim(text), 1, 100) || '...' ELSE trim(text) END END, nullif(trim(source), ''), '(no summary)') AS summary FROM documents",
     "field_projection": "SELECT doc_id, lang, n_chars::VARCHAR AS n_chars FROM documents",
     "point_lookup": "SELECT doc_id, source FROM documents WHERE doc_id = 7",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import normalize_time
@@ -27,9 +27,10 @@ def json_fields(line: Column) -> Column:
 
 
 def logback_fields(line: Column) -> Column:
-    part = lambda i: F.to_variant_object(F.struct(F.regexp_extract(line, LOGBACK, i).alias("v")))
-    got = lambda i: F.try_variant_get(part(i), "$.v", "variant")
-    return F.when(line.rlike(LOGBACK), F.create_map(F.lit("timestamp"), got(1), F.lit("level"), got(2), F.lit("logger"), got(3), F.lit("message"), got(4)))
+    # no part but the last can hold a line break, and the last one ends at it
+    parts = F.split(F.regexp_replace(line, LOGBACK, "$1\n$2\n$3\n$4"), "\n", 4)
+    values = F.transform(parts, lambda v: F.try_variant_get(F.to_variant_object(F.struct(v.alias("v"))), "$.v", "variant"))
+    return F.when(line.rlike(LOGBACK), F.map_from_arrays(F.array(*map(F.lit, ("timestamp", "level", "logger", "message"))), values))
 
 
 class Registry:
@@ -85,7 +86,13 @@ def pick(fields: Column, *keys: str) -> Column:
     return F.coalesce(*[_text(F.try_element_at(fields, F.lit(k))) for k in keys])
 
 
-def log_fields(raw: Column, fields: Column) -> Column:
+def common_values(fields: Column) -> Column:
+    """struct<message, level, logger, time> of the first keys that have a value; time as it stands in the line."""
+    level = F.upper(strip(pick(fields, "level", "severity")))
+    return F.struct(pick(fields, "message", "msg").alias("message"), level.alias("level"), pick(fields, "logger", "class", "source").alias("logger"), pick(fields, "timestamp", "time", "ts").alias("time"))
+
+
+def log_fields(raw: Column, fields: Column, common: Column, timestamp: Column) -> Column:
     """Fields of a log document: raw, extra keys in source order, then the normalized common ones."""
 
     def extra(k, v):
@@ -101,26 +108,37 @@ def log_fields(raw: Column, fields: Column) -> Column:
         )
 
     own = F.filter(F.map_entries(fields), lambda e: (F.trim(e["key"]) != "") & ~F.lower(F.trim(e["key"])).isin(*COMMON))
-    common = present(
-        text_field("message", pick(fields, "message", "msg")),
-        keyword_field("level", F.upper(strip(pick(fields, "level", "severity")))),
-        keyword_field("logger", pick(fields, "logger", "class", "source")),
-        keyword_field("timestamp", normalize_time(pick(fields, "timestamp", "time", "ts"))),
-    )
-    return F.concat(F.array(text_field("raw", raw)), F.transform(own, lambda e: extra(e["key"], e["value"])), common)
+    named = present(text_field("message", common["message"]), keyword_field("level", common["level"]), keyword_field("logger", common["logger"]), keyword_field("timestamp", timestamp))
+    return F.concat(F.array(text_field("raw", raw)), F.transform(own, lambda e: extra(e["key"], e["value"])), named)
 
 
 def parse_lines(lines: DataFrame, fmt: str = "auto", line: str = "line", source: str = "source", line_no: str = "line_no", registry: Registry = REGISTRY) -> DataFrame:
     """ext_id, fields, parsed, of every non-blank line; fields are null where the line doesn't parse."""
-    text = strip(F.col(line))
-    d = lines.where(strip(F.col(line)) != "").select(F.col(source).alias("_s"), F.col(line_no).cast("bigint").alias("_n"), text.alias("_t"), registry.get(fmt)(text).alias("_f"))
+    d = lines.select(F.col(source).alias("_s"), F.col(line_no).cast("bigint").alias("_n"), strip(F.col(line)).alias("_t")).where("_t != ''")
+    # each step is computed once a line: a generator keeps the optimizer from copying it into every use and into filters
+    once = lambda **made: F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()])))
+    d = d.select("*", once(_f=registry.get(fmt)(F.col("_t"))))
+    d = d.select("*", once(_c=F.when(F.col("_f").isNotNull(), common_values(F.col("_f")))))
+    d = d.select("*", once(_time=normalize_time(F.col("_c.time"))))
     post = F.array(keyword_field("source", F.col("_s")), int_field("line_no", F.col("_n")))
-    return d.select(F.concat("_s", F.lit(":"), F.col("_n").cast("string")).alias("ext_id"), F.when(F.col("_f").isNotNull(), F.concat(log_fields(F.col("_t"), F.col("_f")), post)).alias("fields"), F.col("_f").isNotNull().alias("parsed"))
+    ext_id = F.concat("_s", F.lit(":"), F.col("_n").cast("string"))
+    fields = F.when(F.col("_f").isNotNull(), F.concat(log_fields(F.col("_t"), F.col("_f"), F.col("_c"), F.col("_time")), post))
+    return d.select(once(ext_id=ext_id, fields=fields, parsed=F.col("_f").isNotNull()))
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "auto", registry: Registry = REGISTRY) -> DataFrame:
-    """As parse_lines, for the files at path. A line of over 4 MiB is an error, as nothing of such a file may be kept."""
+    """As parse_lines, for the files at path. A line of over 4 MiB is an error, as nothing of such a file may be kept.
+
+    Files are split over tasks: lines are numbered within the block of the file that a task reads, and blocks by the
+    lines of those before them.
+    """
     registry.get(fmt)
-    d = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_path", "^file://(?=/)", "").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    checked = F.when(F.octet_length("line") > MAX_LINE, F.raise_error(F.concat(F.lit("line too long in "), F.col("source")))).otherwise(F.col("line"))
-    return parse_lines(d.select("source", (F.col("i") + 1).alias("line_no"), checked.alias("line")), fmt, registry=registry)
+    d = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("line"), F.regexp_replace("_metadata.file_path", "^file://(?=/)", "").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    )
+    blocks = d.groupBy("source", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("source", "_block", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    numbered = d.join(blocks, ["source", "_block"]).withColumn("line_no", F.col("_at") + F.col("_shift"))
+    checked = F.when(F.octet_length("line") > MAX_LINE, F.raise_error(F.concat(F.lit("line too long in "), F.col("source")))).otherwise(F.regexp_replace("line", "\r$", ""))
+    return parse_lines(numbered.select("source", "line_no", checked.alias("line")), fmt, registry=registry)
