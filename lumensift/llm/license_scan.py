@@ -24,16 +24,52 @@ from .per_document import map_documents, plain_words
 BASE_PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
 _O, _E = "<<beginOptional>>", "<<endOptional>>"
+_NOTICE = f"{_O} Copyright <<var;max=24>> {_E}"
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = f"""{_NOTICE} {_O} All rights reserved. {_E} Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: {_O} 1 {_E} Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. {_O} 2 {_E} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_GPL = f"""{_O} This program is {_E} free software {_O} you can {_E} redistribute it and/or modify it under the terms of the GNU {{lesser}} General Public License
+as published by the Free Software Foundation; either version {{n}} {_O} of the License {_E} {_O} , or (at your option) any later version {_E}"""
+_CC = f"{_O} this work is {_E} licensed under {_O} a {_E} {_O} the {_E} {_O} terms of the {_E} Creative Commons Attribution"
+_LEVEL = f"{_O} <<var;max=2>> {_E} {_O} International {_E} {_O} Unported {_E} License"
+
+#: Wordings of public licences: the whole text where it is short, else the notice that the licence asks for.
 TEMPLATES = [
-    ("mit", f"{_O} this {_E} {_O} <<var;max=3>> {_E} {_O} is {_E} {_O} released {_E} {_O} licensed {_E} {_O} distributed {_E} under the {_O} terms of the {_E} mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", f"licensed under the apache license version 2 {_O} 0 {_E}"),
-    ("apache-2", f"apache license {_O} version {_E} 2 0"),
-    ("cc-by-nc", f"{_O} licensed under {_E} {_O} a {_E} {_O} the {_E} cc by nc {_O} sa {_E} {_O} nd {_E} {_O} <<var;max=1>> 0 {_E}"),
-    ("cc-by-nc", f"creative commons attribution {_O} - {_E} noncommercial"),
-    ("gpl-3", f"{_O} licensed {_E} under the {_O} terms of the {_E} gnu general public license {_O} as published by the free software foundation either {_E} version 3"),
-    ("gpl-2", f"under the {_O} terms of the {_E} gnu general public license {_O} as published by the free software foundation either {_E} version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("mit", f"""{_O} The {_E} {_O} MIT License {_E} {_O} (MIT) {_E} {_NOTICE} Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice {_O} (including the next paragraph) {_E} shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("mit", f"{_O} released {_E} {_O} licensed {_E} {_O} distributed {_E} under the {_O} terms of the {_E} mit license"),
+    ("isc", f"""{_NOTICE} Permission to use, copy, modify, and {_O} or {_E} distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause", f"{_BSD} {_AS_IS}"),
+    ("bsd-3-clause", f"""{_BSD} {_O} 3 {_E} Neither the name of <<var;max=12>> nor the names of <<var;max=6>> contributors may be used to endorse or promote products derived from this
+software without specific prior written permission. {_AS_IS}"""),
+    ("apache-2", f"""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+<<var;max=8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("apache-2", f"{_O} licensed {_E} under the {_O} terms of the {_E} apache license {_O} version {_E} 2 {_O} 0 {_E}"),
+    *[(f"{short}gpl-{n}", _GPL.format(lesser=lesser, n=f"{n} {_O} 0 {_E}" if n != "2.1" else "2 1")) for short, lesser, numbers in (("", "", ("2", "3")), ("l", "Lesser", ("2.1", "3"))) for n in numbers],
+    ("cc-by", f"{_CC} {_LEVEL}"),
+    ("cc-by-sa", f"{_CC} ShareAlike {_LEVEL}"),
+    ("cc-by-sa", f"{_CC} Share Alike {_LEVEL}"),
+    ("cc-by-nc", f"{_CC} NonCommercial {_LEVEL}"),
+    ("cc-by-nc-sa", f"{_CC} NonCommercial ShareAlike {_LEVEL}"),
+    ("cc-by-nc-nd", f"{_CC} NonCommercial NoDerivatives {_LEVEL}"),
+    ("cc-by-nc-sa", "cc by nc sa"),
+    ("cc-by-nc-nd", "cc by nc nd"),
     ("copyright", f"copyright {_O} c {_E} <<var;max=8>> all rights reserved"),
     ("all-rights-reserved", "all rights reserved"),
 ]
@@ -43,6 +79,7 @@ class Automaton:
     """Nondeterministic automaton over words: states are places in the template, the last one accepts."""
 
     def __init__(self, template: str):
+        template = template.replace("<<", " <<").replace(">>", ">> ")
         parts = re.findall(r"<<beginOptional>>|<<endOptional>>|<<var;max=\d+>>|[^<\s]+", template)
         self.step: list[dict] = [{}]  # word -> next state; None: any word
         self.skip: list[set[int]] = [set()]

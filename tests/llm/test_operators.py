@@ -108,6 +108,29 @@ def test_license_templates():
             license_scan.Automaton(bad)
 
 
+def test_license_whole_texts(spark):
+    """Whole wordings with their optional and replaced regions are accepted, a changed or missing mandatory word isn't."""
+    by = {}
+    for label, t in license_scan.TEMPLATES:
+        by.setdefault(label, t)
+    fill = lambda t: re.sub(r"\s+", " ", re.sub(r"<<var;max=\d+>>", "4.0", t.replace("<<beginOptional>>", "").replace("<<endOptional>>", "")))
+    bare = lambda t: re.sub(r"<<var;max=\d+>>", "x", re.sub(r"<<beginOptional>>[^<]*(<<var;max=\d+>>)?[^<]*<<endOptional>>", "", t))
+    texts, want = [], []
+    for label in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd"):
+        whole = f"before {fill(by[label])} after"
+        words = whole.split()
+        mandatory = license_scan.Automaton(by[label]).mandatory[-4].decode()
+        at = max(i for i, w in enumerate(words) if license_scan.plain_words(w.encode())[:1] == [mandatory.encode()])
+        texts += [whole, f"before {bare(by[label])} after", " ".join([*words[:at], "changed", *words[at + 1 :]])]
+        want += [(label, True), (label, True), (label, False)]
+    out = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    got = [(k, k in out[i]["labels"].split(",")) for i, (k, _) in enumerate(want)]
+    # the short notices stay where the long wording is broken
+    assert [g for g, (k, _) in zip(got, want, strict=True) if k not in ("mit", "apache-2")] == [w for w in want if w[0] not in ("mit", "apache-2")]
+    long_mit = lambda i: any(m["label"] == "mit" and m["end_word"] - m["first_word"] > 100 for m in out[i]["matches"])
+    assert long_mit(0) and long_mit(1) and not long_mit(2)
+
+
 def edit(a, b):
     """Least errors of a anywhere in b."""
     row = [0] * (len(b) + 1)
@@ -410,6 +433,28 @@ def test_warc_round_trip(spark):
     assert all(r["error"] and r["conversion"] is None for r in warc.derivatives(bad).collect())
 
 
+def test_warc_files(spark):
+    """Files of several records of several types and header styles, plain and gzipped by record, and broken ones."""
+    page = b"<html><title>A</title><script>open <p>x"
+    block = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nX-Long: a\r\n\r\n<title>T</title>hello" + page
+    fields = [("WARC-Target-URI", "http://e/"), ("WARC-Date", "2025-01-02T03:04:05Z"), ("WARC-IP-Address", "192.0.2.1")]
+    one = warc.record("response", "<urn:uuid:1>", fields, block)
+    folded = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI:\thttp://e/2\r\nX-Folded: a\r\n\tb\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    others = [warc.record("warcinfo", "<urn:uuid:0>", [], b"software: x\r\n"), warc.record("request", "<urn:uuid:9>", fields, b"GET / HTTP/1.1\r\n\r\n")]
+    records = [others[0], one, others[1], folded]
+    files = [b"".join(records), b"".join(map(gzip.compress, records)), one + b"junk", gzip.compress(one)[:-9], b"", None]
+    d = spark.createDataFrame(list(enumerate(files)), "key long, content binary")
+    rows = warc.read_records(d).collect()
+    got = [(r["key"], r["n"], warc.parse(bytes(r["response"]))[0]["warc-record-id"]) for r in rows if r["error"] is None]
+    assert sorted(got) == [(0, 1, "<urn:uuid:1>"), (0, 3, "<urn:uuid:2>"), (1, 1, "<urn:uuid:1>"), (1, 3, "<urn:uuid:2>"), (2, 0, "<urn:uuid:1>")]
+    assert sorted(r["key"] for r in rows if r["error"]) == [2, 3, 5]
+    out = warc.derivatives(warc.read_records(d).where("error IS NULL")).collect()
+    assert all(r["error"] is None and r["text"] == "T\nhello\nA" and r["title"] == "T" for r in out)
+    facts = {r["refers_to"]: warc.parse(bytes(r["metadata"]))[1] for r in out}
+    assert b"source-http-x-long: a" in facts["<urn:uuid:1>"] and {r["target_uri"] for r in out} == {"http://e/", "http://e/2"}
+    assert warc.visible_text("<script>" * 50_000) == ""
+
+
 def brute_suffix(texts, length):
     seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
@@ -514,6 +559,7 @@ RUNS = {
     "6": lambda d, b, lab: mixing.place(d),
     "7": lambda d, b, lab: cotraining.accepted(d, cotraining.fit(d, lab)),
     "8": lambda d, b, lab: line_dedup.line_dedup(d),
+    "9": lambda d, b, lab: warc.derivatives(warc.responses(d, "doc_id", "source", "text")),
     "10": lambda d, b, lab: suffix_dedup.suffix_dedup(d),
 }
 
