@@ -8,7 +8,8 @@ headers and digest are repeated in the metadata record.
 Record ids are derived from the response's id and the record's type, so that reruns and retried tasks write the same
 bytes. One streaming pass, no shuffle; a record is handled whole.
 
-Chunked transfer and gzip and deflate encodings are undone before the text is taken.
+Files of several records, plain or gzipped by record, are split by read_records. Chunked transfer and gzip and deflate
+encodings are undone before the text is taken.
 
 Defined results: a null or unparsable response, or one in an unknown or broken encoding, yields no derivative and an error text; a null page is an empty body;
 an empty table gives an empty result; repeated rows give repeated records; other columns are ignored.
@@ -26,9 +27,11 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import read
-from .per_document import map_documents
+from .per_document import as_batch, map_documents
 
 CRLF = b"\r\n"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lumensift:warc")
@@ -71,6 +74,37 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def members(raw: bytes):
+    """The parts of a gzip stream of several members, or the stream itself if it isn't compressed."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while raw:
+        d = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            yield d.decompress(raw) + d.flush()
+        except zlib.error:
+            raise ValueError("broken gzip stream") from None
+        if not d.eof:
+            raise ValueError("gzip stream ends early")
+        raw = d.unused_data.lstrip(b"\0")
+
+
+def split(raw: bytes):
+    """Each record of a WARC file's bytes, plain or gzipped record by record, as (fields, whole record)."""
+    for part in members(raw):
+        at = 0
+        while True:
+            while part[at : at + 2] == CRLF:
+                at += 2
+            if at >= len(part):
+                break
+            fields, block = parse(part[at:] if at else part)
+            end = part.index(CRLF * 2, at) + 4 + len(block)
+            yield fields, part[at:end]
+            at = end
+
+
 def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers in order, body."""
     head, sep, body = block.partition(CRLF * 2)
@@ -129,7 +163,8 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
     return body
 
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+#: What isn't shown; left open, it reaches to the end of the page.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BREAKS = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|table|tr|article|section|nav|header|footer|blockquote|pre|title|head|body)|br|hr|li|td)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -185,6 +220,28 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return map_documents(pages, {id_col: "value", url_col: "text", html_col: "text"}, fn, "key long, response binary")
 
 
+def read_records(files: DataFrame, key_col: str = "key", bytes_col: str = "content") -> DataFrame:
+    """Responses of WARC files given as bytes: key, n (place in the file from 0), response; or n null and an error for a
+    file that breaks, after the records before the break. Records of other types are passed over."""
+    schema = "key long, n long, response binary, error string"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for b in batches:
+            for key, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                n = -1
+                try:
+                    if raw is None:
+                        raise ValueError("no file")
+                    for n, (fields, whole) in enumerate(split(raw)):
+                        if fields.get("warc-type", "").lower() == "response":
+                            yield as_batch([(key, n, whole, None)], arrow)
+                except ValueError as e:
+                    yield as_batch([(key, None, None, f"after record {n}: {e}")], arrow)
+
+    return files.select(F.col(key_col).cast("long").alias("key"), F.col(bytes_col).cast("binary").alias("b")).mapInArrow(run, schema)
+
+
 DERIVED = "key long, refers_to string, conversion_id string, metadata_id string, target_uri string, payload_digest string, title string, lang string, n_links long, text string, conversion binary, metadata binary, error string"
 
 
