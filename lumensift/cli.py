@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .operators import search as s
@@ -62,6 +63,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[int, str]:
         return 0, _run(a, spark, store)
     except (ValueError, LookupError, OSError) as e:
         return 1, f"error: {e}"
+    except AnalysisException as e:  # such as an input path that doesn't exist
+        return 1, f"error: {str(e).splitlines()[0]}"
 
 
 def _run(a, spark, store: Store) -> str:

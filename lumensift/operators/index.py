@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer
+from ..functions.binding import let
 from ..functions.similarity import BM25, BY_NAME, Similarity
 from ..sources.documents import string_value, with_ids
 
@@ -75,13 +76,22 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """term, doc_id, tf, positions, dl. One shuffle, by term and document, with map-side partial aggregation."""
+        """term, doc_id, tf, positions, dl. No shuffle: a document's tokens are sorted and cut into runs inside its row."""
         if "postings" in self._derived:
             return self._derived["postings"]
         d = self.analyzed.withColumn("dl", F.size("tokens").cast("long"))
-        all_terms = F.concat("tokens", F.transform("whole", lambda t: F.struct(t.alias("term"), F.lit(0).alias("pos"))))
-        rows = d.select("doc_id", "dl", F.inline(all_terms))
-        return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+        every = F.sort_array(F.concat("tokens", F.transform("whole", lambda t: F.struct(t.alias("term"), F.lit(0).alias("pos")))))
+        term = lambda a, i: F.get(a, i)["term"]
+
+        def runs(a):
+            """a: sorted tokens, and where a new term begins, with the end."""
+            one = lambda s, k: F.struct(term(a["t"], s).alias("term"), (F.get(a["s"], k + 1) - s).cast("long").alias("tf"), F.transform(F.slice(a["t"], s + 1, F.get(a["s"], k + 1) - s), lambda x: x["pos"]).alias("positions"))
+            return F.transform(F.slice(a["s"], F.lit(1), F.size(a["s"]) - 1), one)
+
+        begins = lambda a: F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i == 0) | (i == F.size(a)) | (term(a, i) != term(a, i - 1)))
+        cut = let(let(every, lambda a: F.struct(a.alias("t"), begins(a).alias("s"))), runs)
+        rows = d.where((F.size("tokens") > 0) | (F.size("whole") > 0)).select("doc_id", "dl", F.inline(cut))
+        return rows.select("term", "doc_id", "tf", "positions", "dl")
 
     @cached_property
     def doc_lengths(self) -> DataFrame:

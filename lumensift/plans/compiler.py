@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import micros, parse_time, python_time
 from ..operators.index import Index, UnknownTerm
-from ..sources.documents import number_value
+from ..sources.documents import number_value, string_value
 from .ast import And, Boolean, FieldTerm, Fuzzy, Must, Not, Occur, Or, Phrase, Query, Range, Should, Term, Wildcard
 
 
@@ -19,6 +19,7 @@ def empty(index: Index) -> DataFrame:
 
 def compile_query(index: Index, q: Query | None, strict: bool | None = None) -> DataFrame:
     """strict: unknown terms raise (default: the index's strict_terms); clauses where they may be missing pass False."""
+    index.documents  # raises if the index is closed, also where only postings are read
     strict = index.strict_terms if strict is None else strict
     return empty(index) if q is None else _NODES[type(q)](index, q, strict)
 
@@ -41,10 +42,12 @@ def _field_term(index, q: FieldTerm, strict):
 
 
 def _in_field(index: Index, hits: DataFrame, field: str, predicate) -> DataFrame:
+    """The hits whose field holds a term that fits: only the documents that were hit are read, and only that field."""
     if not field:
         return hits
-    ok = index.field_tokens.where((F.col("field") == field) & predicate(F.col("term"))).select("doc_id").distinct()
-    return hits.join(ok, "doc_id", "left_semi")
+    holds = lambda f: F.when(f["tokenized"], F.exists(index.analyzer.tokens(string_value(f)), lambda t: predicate(t["term"]))).otherwise(predicate(F.lower(string_value(f))))
+    found = hits.join(index.documents.select("doc_id", "fields"), "doc_id")
+    return found.where(F.exists(F.filter("fields", lambda f: f["name"] == field), holds)).select("doc_id", "score")
 
 
 def _phrase(index, q: Phrase, strict):

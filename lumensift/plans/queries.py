@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,18 +95,22 @@ def _events_docs(spark, sf) -> DataFrame:
     return d.from_table(e, "event_id", keyword=("event_type", "timestamp"), real=("value",))
 
 
-def _files(spark, sf):
-    """Round trip of a stored index: add, delete, commit, then read back."""
-    import uuid
-
-    from pyspark.sql import functions as F
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+def _stored(spark, sf):
+    """Round trip of a stored index: add, delete, commit, delete and update after the commit, then read back."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
+        root = "file://" + tempfile.mkdtemp(prefix="lumensift-")
     store = Store(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}").create()
-    docs = d.from_table(_read(spark, sf, "supplier"), "s_suppkey", keyword=("s_name",))
-    store.add(docs.select("ext_id", "fields"))
+    store.add(d.from_table(_read(spark, sf, "documents"), "doc_id", text=("text",), keyword=("source",), ext_id="doc_id").select("ext_id", "fields"))
+    live = lambda: store.index().documents
+    store.delete(live().where("cast(ext_id AS bigint) % 7 = 0").select("doc_id"))
     store.commit()
-    return store.index().documents.select(d.string_value(d.first_field("s_name")).alias("s_name"))
+    store.delete(live().where("cast(ext_id AS bigint) % 11 = 0").select("doc_id"))
+    store.update(live().where("ext_id = '5'").first()["doc_id"], live().where("ext_id = '4'").select("fields"))
+    get = lambda n: d.string_value(d.first_field(n))
+    return live().select("ext_id", get("source").alias("source"), F.md5(get("text")).alias("text_md5"))
 
 
 QUERIES = {
@@ -152,7 +159,7 @@ QUERIES = {
     "doc_list": lambda p, f: s.listing(documents_index(p, f), 20).select("doc_id"),
     "delete_docs": lambda p, f: _rounded(s.hits(documents_index(p, f).delete(documents_index(p, f).documents.where("doc_id % 2 = 0").select("doc_id")), Term(A))),
     "update_docs": lambda p, f: (lambda ix: ix.update(3, ix.documents.where("doc_id = 4").select("fields")).documents.select("doc_id", d.string_value(d.first_field("source")).alias("source")))(documents_index(p, f)),
-    "store_round_trip": _files,
+    "store_round_trip": _stored,
     "log_json_parse": _log("json"),
     "log_logback_parse": _log("logback"),
     "log_auto_detect": lambda p, f: log_lines(p, f).select("line_no", detect_format(F.col("line")).alias("format")).groupBy("format").agg(F.count("*").alias("n")),
@@ -284,7 +291,7 @@ SELECT doc_id, s AS start, e AS stop, CASE WHEN length(text) <= 160 THEN text EL
     "doc_list": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20",
     "delete_docs": f"{_base('doc_id % 2 = 1', whole='SELECT doc_id, lang AS term, 0 AS pos FROM documents WHERE false')} {_out(_hits(A))}",
     "update_docs": "SELECT doc_id, source FROM documents WHERE doc_id <> 3 UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents), source FROM documents WHERE doc_id = 4",
-    "store_round_trip": "SELECT s_name FROM supplier",
+    "store_round_trip": "SELECT doc_id::VARCHAR AS ext_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id <> 5 UNION ALL SELECT NULL, source, md5(text) FROM documents WHERE doc_id = 4",
     "log_json_parse": f"{_LOG} {_LOG_JSON}",
     "log_logback_parse": f"{_LOG} {_LOG_BACK}",
     "log_auto_detect": "SELECT CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'logback' END AS format, count(*) AS n FROM events GROUP BY 1",

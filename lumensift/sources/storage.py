@@ -66,11 +66,11 @@ class Store:
 
     def _pending(self, m: dict) -> DataFrame | None:
         """The change rows not yet folded in, with their sequence number."""
-        out = None
-        for n in range(m["applied"], m["changes"]):
-            d = self.spark.read.schema(f"op string, {SCHEMA}").parquet(f"{self.path}/changes/{n}").withColumn("seq", F.lit(n))
-            out = d if out is None else out.unionByName(d)
-        return out
+        paths = [f"{self.path}/changes/{n}" for n in range(m["applied"], m["changes"])]
+        if not paths:
+            return None
+        d = self.spark.read.schema(f"op string, {SCHEMA}").parquet(*paths)
+        return d.withColumn("seq", F.regexp_extract("_metadata.file_path", r"/changes/(\d+)/[^/]*$", 1).cast("int"))
 
     def documents(self) -> DataFrame:
         """Live documents: the version's with the pending changes, the last change of an id deciding."""
@@ -88,31 +88,47 @@ class Store:
         added = last.where("op = 'ADD'").select(*base.columns).join(base.select("doc_id"), "doc_id", "left_anti")
         return base.join(deleted, "doc_id", "left_anti").unionByName(added)
 
-    def _log(self, rows: DataFrame, last_id: int | None = None) -> None:
-        m = self.manifest()
-        rows.write.mode("overwrite").parquet(f"{self.path}/changes/{m['changes']}")
-        self._swap(m | {"changes": m["changes"] + 1} | ({} if last_id is None else {"last_id": last_id}))
+    def _log(self, rows: DataFrame, m: dict) -> tuple[int, int | None]:
+        """Write a change and name it in the manifest; (rows, largest id) of it."""
+        path = f"{self.path}/changes/{m['changes']}"
+        rows.write.mode("overwrite").parquet(path)  # what a crashed writer left there isn't in the manifest
+        r = self.spark.read.parquet(path).agg(F.count("*"), F.max(F.when(F.col("op") == "ADD", F.col("doc_id")))).first()
+        self._swap(m | {"changes": m["changes"] + 1, "last_id": r[1] or m["last_id"]})
+        return r[0], r[1]
 
-    def add(self, docs: DataFrame) -> int:
-        """Log documents (fields, and optionally ext_id and boost); returns how many."""
-        m = self.manifest()
+    @staticmethod
+    def _added(docs: DataFrame, m: dict) -> DataFrame:
         have = set(docs.columns)
         d = docs.select((F.col("ext_id") if "ext_id" in have else F.lit(None)).cast("string").alias("ext_id"), (F.col("boost") if "boost" in have else F.lit(1.0)).cast("float").alias("boost"), "fields")
-        numbered = with_ids(d, m["last_id"] + 1).select(F.lit("ADD").alias("op"), "doc_id", "ext_id", "boost", "fields")
-        numbered.write.mode("overwrite").parquet(f"{self.path}/changes/{m['changes']}")
-        r = self.spark.read.parquet(f"{self.path}/changes/{m['changes']}").agg(F.count("*"), F.max("doc_id")).first()
-        self._swap(m | {"changes": m["changes"] + 1, "last_id": r[1] or m["last_id"]})
-        return r[0]
+        return with_ids(d, m["last_id"] + 1).select(F.lit("ADD").alias("op"), "doc_id", "ext_id", "boost", "fields")
 
-    def delete(self, ids: list[int]) -> None:
-        """Log deletions; unknown ids do nothing."""
-        gone = self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    def _gone(self, ids: list[int] | DataFrame) -> DataFrame:
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
         f = SCHEMA.split("fields ")[1]
-        self._log(gone.select(F.lit("DELETE").alias("op"), "doc_id", F.lit(None).cast("string").alias("ext_id"), F.lit(None).cast("float").alias("boost"), F.lit(None).cast(f).alias("fields")))
+        return gone.select(F.lit("DELETE").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("ext_id"), F.lit(None).cast("float").alias("boost"), F.lit(None).cast(f).alias("fields"))
+
+    def add(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Log documents (fields, and optionally ext_id and boost); returns how many.
+
+        batch: name of a stream and number of its batch; one that was added before is passed over.
+        """
+        m = self.manifest()
+        if batch is not None:
+            name, n = batch
+            done = m.get("batches", {})
+            if done.get(name, -1) >= n:
+                return 0
+            m = m | {"batches": done | {name: n}}
+        return self._log(self._added(docs, m), m)[0]
+
+    def delete(self, ids: list[int] | DataFrame) -> None:
+        """Log deletions (a list, or a DataFrame with doc_id); unknown ids do nothing."""
+        self._log(self._gone(ids), self.manifest())
 
     def update(self, doc_id: int, docs: DataFrame) -> None:
-        self.delete([doc_id])
-        self.add(docs)
+        """Deletion and addition in one change."""
+        m = self.manifest()
+        self._log(self._gone([doc_id]).unionByName(self._added(docs, m)), m)
 
     def pending(self) -> int:
         m = self.manifest()
@@ -129,7 +145,12 @@ class Store:
         fresh = Index(self.spark.read.parquet(f"{to}/documents"), **self.options)
         fresh.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{to}/postings")
         fresh.doc_lengths.write.mode("overwrite").parquet(f"{to}/doc_lengths")
-        self._swap(m | {"version": m["version"] + 1, "applied": m["changes"]})
+        self._swap(m | {"version": m["version"] + 1, "applied": m["changes"], "cleaned": m["applied"]})
+        # readers of the version before this one go on; what only older ones needed goes
+        old = [f"v{m['version'] - 1}"] * (m["version"] > 1) + [f"changes/{n}" for n in range(m.get("cleaned", 0), m["applied"])]
+        for sub in old:
+            fs, p = self._fs(sub)
+            fs.delete(p, True)
         return True
 
     compact = commit

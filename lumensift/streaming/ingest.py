@@ -16,8 +16,9 @@ def ingest_logs(spark: SparkSession, folder: str, store: Store, checkpoint: str,
     files = spark.readStream.schema("value string").option("wholetext", True).text(folder)
     lines = files.select(F.regexp_replace("_metadata.file_path", "^file://(?=/)", "").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
 
-    def add(batch, _):
-        store.add(parse_lines(batch.select("source", (F.col("i") + 1).alias("line_no"), "line"), fmt).where("parsed").select("ext_id", "fields"))
+    def add(batch, n):
+        # a batch that is replayed after a crash isn't added twice
+        store.add(parse_lines(batch.select("source", (F.col("i") + 1).alias("line_no"), "line"), fmt).where("parsed").select("ext_id", "fields"), batch=(checkpoint, n))
 
     writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
