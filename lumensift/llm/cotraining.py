@@ -20,9 +20,7 @@ own).
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -42,52 +40,77 @@ MEASURE = 0.3  # weight of a measurement beside the words' vector of unit length
 STEPS = 8  # a measurement falls into one of STEPS steps
 REJECT_BELOW = 0.5
 METADATA = ("lang", "source", "n_chars")
-_DIGIT_RUN, _UPPER_RUN, _LOWER_RUN = re.compile(r"\d+"), re.compile(r"[A-Z]+"), re.compile(r"[a-zß-ÿ]+")
-
-
-class _Features(dict):
-    """Hashed features of a token (its shape, the token itself), remembered; emptied when large."""
-
-    def __missing__(self, tok: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        shape = _LOWER_RUN.sub("a", _UPPER_RUN.sub("A", _DIGIT_RUN.sub("0", tok)))[:12]
-        found = self[tok] = (zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % DIM, zlib.crc32(b"w" + tok.lower().encode("utf-8", "replace")) % DIM)
-        return found
-
-
-_features = _Features()
-
-
-def measured(text: str) -> list[int]:
+#: Capitals, other letters (and bytes of non-ASCII characters) and digits become A, a and 0, blanks one blank.
+_CLASS = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256)], np.uint8)
+_ONE_OF_RUN = np.isin(np.arange(256), [65, 97, 48, 32])
+_RANDOM = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 256, dtype=np.uint64)
+#: Letters count the same in both cases.
+_FOLDED = _RANDOM[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+_BASE = 0x9E3779B97F4A7C15
+SEGMENT = 1 << 16
+_UP = np.cumprod(np.full(SEGMENT, _BASE, np.uint64))
+_DOWN = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def word_features(raw: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A number under DIM for each run of bytes that aren't blank: polynomial hashes, as differences of prefix sums."""
+    blank = np.concatenate(([True], _CLASS[raw] == 32, [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[raw] * _UP[: len(raw)])))
+    h = (sums[end] - sums[start]) * _DOWN[start]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - DIM.bit_length() + 1)).astype(np.int64)
+
+
+def segments(text: bytes):
+    """Parts of at most SEGMENT bytes, cut at blanks where there are any."""
+    at = 0
+    while at < len(text):
+        end = at + SEGMENT
+        if end < len(text):
+            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
+            end = cut + 1 if cut > at else end
+        yield text[at:end]
+        at = end
+
+
+def measured(text: bytes, n_words: int) -> list[int]:
     """Steps of the text's measurements: shares of symbols, bars, exclamation marks, capitals and digits, of lines that
     occurred before and of lines with an end mark, length of words."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    words, n, n_lines = max(1, len(text.split())), max(1, len(text)), max(1, len(lines))
-    raw = text.encode("utf-8", "replace")
-    upper, digits = (len(raw) - len(raw.translate(None, x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    words, n, n_lines = max(1, n_words), max(1, len(text)), max(1, len(lines))
+    left = lambda chars: len(text) - len(text.translate(None, chars))
     shares = (
-        sum(map(text.count, "#*$%&<>")) / words,
-        text.count("|") / words,
-        text.count("!") / words,
-        2 * upper / n,
-        2 * digits / n,
+        left(b"#*$%&<>") / words,
+        text.count(b"|") / words,
+        text.count(b"!") / words,
+        2 * left(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n,
+        2 * left(b"0123456789") / n,
         1 - len(set(lines)) / n_lines,
-        sum(x.rstrip()[-1:] in tuple(".!?:;") for x in lines) / n_lines,
+        sum(x.rstrip().endswith((b".", b"!", b"?", b":", b";")) for x in lines) / n_lines,
         n / words / 20,
     )
     # steps are finer for small shares
     return [DIM + i * STEPS + min(STEPS - 1, int(STEPS * x**0.5)) for i, x in enumerate(shares)]
 
 
-def content_view(text: str) -> bytes:
-    """Features of a text (two bytes each), then their counts up to 255 (one byte each)."""
-    counts: dict[int, int] = dict.fromkeys(measured(text), 1)
-    for tok, n in Counter(text.split()).items():
-        for i in _features[tok]:
-            counts[i] = counts.get(i, 0) + n
-    at = np.fromiter(counts, np.uint16, len(counts))
-    return at.tobytes() + np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), 255).astype(np.uint8).tobytes()
+def content_view(text: bytes) -> bytes:
+    """Features of a text (two bytes each), then their counts up to 255 (one byte each): words and their shapes
+    (capitals, letters, digits and marks, runs as one) hashed to DIM numbers, and its measurements."""
+    counts = np.zeros(DIM + 8 * STEPS, np.int64)
+    n_words = 0
+    for part in segments(text):
+        raw = np.frombuffer(part, np.uint8)
+        shape = _CLASS[raw]
+        shape = shape[np.concatenate(([True], (shape[1:] != shape[:-1]) | ~_ONE_OF_RUN[shape[1:]]))]
+        words = word_features(raw, _FOLDED)
+        n_words += len(words)
+        counts += np.bincount(np.concatenate((words, word_features(shape, _RANDOM))), minlength=len(counts))
+    counts[measured(text, n_words)] = 1
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + np.minimum(counts[at], 255).astype(np.uint8).tobytes()
 
 
 def unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +177,7 @@ class Model:
         """prior: log odds of the classes, which both views' odds hold; given: labels that the views gave each other."""
         self.views, self.prior, self.given = views, prior, given
 
-    def score(self, text: str, metadata: tuple) -> float:
+    def score(self, text: bytes, metadata: tuple) -> float:
         if self.views is None:
             return 0.5
         z = self.views[0].odds(unpacked(content_view(text))) + self.views[1].odds(metadata_view(metadata)) - self.prior
@@ -191,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{n}") for n, c in enumerate(meta_cols)]).where("i IS NOT NULL")
     meta = [f"m{n}" for n in range(len(meta_cols))]
     kinds = ", ".join(f"{m} {d.schema[m].dataType.simpleString()}" for m in meta)
-    one = lambda i, t, *m: (i, content_view(t or ""), *m)
-    table = saved(map_documents(d, dict.fromkeys(("i", "t", *meta), "value"), one, f"i long, x binary, {kinds}"), "quality-features")
+    one = lambda i, t, *m: (i, content_view(t or b""), *m)
+    table = saved(map_documents(d, {"i": "value", "t": "text", **dict.fromkeys(meta, "value")}, one, f"i long, x binary, {kinds}"), "quality-features")
     try:
         return cotrain(table, meta, picked, share, rounds)
     finally:
@@ -256,11 +279,11 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, _h (hash of the text), score (probability of being good), kept."""
 
     def one(doc_id, h, text, *metadata):
-        score = model.score(text or "", metadata)
+        score = model.score(text or b"", metadata)
         return doc_id, h, score, score >= reject_below
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{n}") for n, c in enumerate(meta_cols)])
-    return map_documents(d, dict.fromkeys(d.columns, "value"), one, "doc_id long, _h long, score double, kept boolean")
+    return map_documents(d, dict.fromkeys(d.columns, "value") | {"t": "text"}, one, "doc_id long, _h long, score double, kept boolean")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +297,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: t
     def run(batches):
         for b in batches:
             texts, *metadata = (b.column(b.schema.get_field_index(c)) for c in (text_col, *meta_cols))
-            keep = [model.score(t.as_py() or "", tuple(x.as_py() for x in m)) >= reject_below for t, *m in zip(texts, *metadata, strict=True)]
+            keep = [model.score((t.as_py() or "").encode(), tuple(x.as_py() for x in m)) >= reject_below for t, *m in zip(texts, *metadata, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
