@@ -99,8 +99,10 @@ def aggregations(index: Index, q: str, agg: str | None = None, group: str | None
         raise ValueError("scope must be page or all")
     if group is None:
         return aggregate.count(page(index, q, start, size) if scope == "page" else hits(index, q), agg or "count")
-    docs = with_documents(index, page(index, q, start, size)) if scope == "page" else index.documents.join(hits(index, q), "doc_id")
-    return aggregate.group(docs, group)
+    if scope == "page":
+        return aggregate.group(with_documents(index, page(index, q, start, size)), group)
+    keys = index.documents.select("doc_id", aggregate.key(group))  # texts stay out of the join
+    return aggregate.counted(keys.join(hits(index, q).select("doc_id"), "doc_id"))
 
 
 def listing(index: Index, n: int = 100) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import micros, parse_time, python_time
 from ..operators.index import Index, UnknownTerm
-from ..sources.documents import number_value, string_value
+from ..operators.wanted import Match, Wanted
+from ..sources.documents import number_value
 from .ast import And, Boolean, FieldTerm, Fuzzy, Must, Not, Occur, Or, Phrase, Query, Range, Should, Term, Wildcard
 
 
@@ -21,33 +22,57 @@ def compile_query(index: Index, q: Query | None, strict: bool | None = None) ->
     """strict: unknown terms raise (default: the index's strict_terms); clauses where they may be missing pass False."""
     index.documents  # raises if the index is closed, also where only postings are read
     strict = index.strict_terms if strict is None else strict
-    return empty(index) if q is None else _NODES[type(q)](index, q, strict)
+    if q is None:
+        return empty(index)
+    return _NODES[type(q)](index.narrowed(Wanted(frozenset(matches(q)))), q, strict)
+
+
+def matches(q: Query) -> list[Match]:
+    """What the nodes under q read of the dictionary, so that one pass serves them all."""
+    if isinstance(q, Term):
+        return [Match("term", q.text)]
+    if isinstance(q, FieldTerm):
+        return [Match("term", q.term.lower(), q.field)]
+    if isinstance(q, Phrase):
+        return [Match("term", t.lower()) for t in q.terms]
+    if isinstance(q, Wildcard):
+        return [Match("prefix", q.prefix.lower(), q.field)]
+    if isinstance(q, Fuzzy):
+        return [Match("near", q.term.lower(), q.field)]
+    if isinstance(q, (And, Or, Should)):
+        return [m for x in q.queries for m in matches(x)]
+    if isinstance(q, Boolean):
+        kinds = {c.occur for c in q.clauses}
+        unused = {Occur.SHOULD} if Occur.MUST in kinds else set() if Occur.SHOULD in kinds else set(Occur)
+        return [m for c in q.clauses if c.occur not in unused for m in matches(c.query)]
+    return matches(q.query) if isinstance(q, Must) else []  # a Not matches nothing; a Range reads the documents
 
 
 def _term(index, q: Term, strict):
     return _posting_scores(index, q.text, q.boost, strict)
 
 
-def _posting_scores(index, term, boost, strict):
+def _posting_scores(index, term, boost, strict, more=()):
     rows = index.postings.where(F.col("term") == term)
     if strict and not rows.limit(1).count():
         raise UnknownTerm(term)
     df = F.broadcast(rows.agg(F.count("*").alias("df")))  # one row
-    return index.score(rows.crossJoin(df), F.col("df")).select("doc_id", (F.col("score") * boost).alias("score"))
+    kept = [c for c in more if c in rows.columns]
+    return index.score(rows.crossJoin(df), F.col("df"), kept).select("doc_id", (F.col("score") * boost).alias("score"), *kept)
 
 
 def _field_term(index, q: FieldTerm, strict):
-    hits = _posting_scores(index, q.term.lower(), q.boost, strict)
-    return _in_field(index, hits, q.field, lambda t: t == q.term.lower())
+    m = Match("term", q.term.lower(), q.field)
+    return _in_field(index, _posting_scores(index, m.text, q.boost, strict, ("within",)), m).select("doc_id", "score")
 
 
-def _in_field(index: Index, hits: DataFrame, field: str, predicate) -> DataFrame:
-    """The hits whose field holds a term that fits: only the documents that were hit are read, and only that field."""
-    if not field:
-        return hits
-    holds = lambda f: F.when(f["tokenized"], F.exists(index.analyzer.tokens(string_value(f)), lambda t: predicate(t["term"]))).otherwise(predicate(F.lower(string_value(f))))
-    found = hits.join(index.documents.select("doc_id", "fields"), "doc_id")
-    return found.where(F.exists(F.filter("fields", lambda f: f["name"] == field), holds)).select("doc_id", "score")
+def _in_field(index: Index, rows: DataFrame, m: Match) -> DataFrame:
+    """The rows whose document's field holds a term that fits: noted when the postings were read, or read from the documents."""
+    if not m.field:
+        return rows
+    if "within" in rows.columns:
+        return rows.where(F.array_contains("within", m.key))
+    return rows.join(index.holding(m), "doc_id", "left_semi")
 
 
 def _phrase(index, q: Phrase, strict):
@@ -123,22 +148,20 @@ def _range(index, q: Range, strict):
     return index.documents.where(hit).select("doc_id", F.lit(float(q.boost)).alias("score"))
 
 
-def _expanded(index, matches, field, boost):
+def _expanded(index, m: Match, boost):
     """Best score over all dictionary terms that match, within documents whose field has a match."""
-    rows = index.postings.where(matches(F.col("term")))
+    rows = index.postings.where(m.fits(F.col("term")))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    scored = index.score(rows.join(df, "term"), F.col("df")).select("doc_id", (F.col("score") * boost).alias("score"))
-    return _in_field(index, best([scored]), field, matches)
+    scored = index.score(_in_field(index, rows, m).join(df, "term"), F.col("df"))
+    return best([scored.select("doc_id", (F.col("score") * boost).alias("score"))])
 
 
 def _wildcard(index, q: Wildcard, strict):
-    return _expanded(index, lambda t: t.startswith(q.prefix.lower()), q.field, q.boost)
+    return _expanded(index, Match("prefix", q.prefix.lower(), q.field), q.boost)
 
 
 def _fuzzy(index, q: Fuzzy, strict):
-    term = q.term.lower()
-    near = lambda t: F.length(t).between(len(term) - 1, len(term) + 1) & (F.levenshtein(t, F.lit(term), 1) >= 0)
-    return _expanded(index, near, q.field, q.boost)
+    return _expanded(index, Match("near", q.term.lower(), q.field), q.boost)
 
 
 _NODES = {

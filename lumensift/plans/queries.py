@@ -31,7 +31,7 @@ def _read(spark, sf, table) -> DataFrame:
 
 
 def documents_index(spark: SparkSession, sf: str) -> Index:
-    """The index of the documents table, built once per session and path and kept in executor storage."""
+    """The index of the documents table, one per session and path; the postings of queried terms stay in executor storage."""
     key = (spark.sparkContext.applicationId, sf, "documents")
     if key not in _indexes:
         _indexes[key] = Index(d.from_table(_read(spark, sf, "documents"), "doc_id", text=("text",), keyword=("lang", "source"), integer=("n_chars",))).cache()
