@@ -1,7 +1,7 @@
 """Versioned indexes on any Hadoop file system: Parquet tables named by a manifest, and an append-only change log.
 
     <path>/manifest.json            {"version", "last_id", "changes"}
-    <path>/v<version>/documents     and postings (sorted by term), doc_lengths
+    <path>/v<version>/documents     and postings (each file sorted by term), doc_lengths
     <path>/changes/<n>              op, doc_id, ext_id, boost, fields of one add or delete
 
 A reader applies the changes that the manifest's version has not taken in; commit() folds them into a new version,
@@ -83,7 +83,9 @@ class Store:
     def replay(base: DataFrame, changes: DataFrame | None) -> DataFrame:
         if changes is None:
             return base
-        last = changes.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("seq")))).where("k = 1")
+        # ids and numbers alone are sorted by id, not the documents
+        numbered = changes.select("doc_id", "seq", F.max("seq").over(Window.partitionBy("doc_id")).alias("last"))
+        last = changes.join(numbered.where("seq < last").select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
         deleted = last.where("op = 'DELETE'").select("doc_id")
         added = last.where("op = 'ADD'").select(*base.columns).join(base.select("doc_id"), "doc_id", "left_anti")
         return base.join(deleted, "doc_id", "left_anti").unionByName(added)
@@ -143,7 +145,8 @@ class Store:
         to = f"{self.path}/v{m['version'] + 1}"
         index.documents.write.mode("overwrite").parquet(f"{to}/documents")
         fresh = Index(self.spark.read.parquet(f"{to}/documents"), **self.options)
-        fresh.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{to}/postings")
+        # a file per split of the documents: no shuffle, and a term's rows are found by the statistics of each file's pages
+        fresh.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{to}/postings")
         fresh.doc_lengths.write.mode("overwrite").parquet(f"{to}/doc_lengths")
         self._swap(m | {"version": m["version"] + 1, "applied": m["changes"], "cleaned": m["applied"]})
         # readers of the version before this one go on; what only older ones needed goes

@@ -75,3 +75,23 @@ def test_groups_of_all_hits_join_keys_only(docs):
     assert {(r["key"], r["count"]) for r in plan.collect()} == {("tion", 4)}
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "fields" not in text[: text.index("Join")]  # before: the key was taken above the join, of whole documents
+
+
+def test_a_commit_shuffles_no_documents(spark, docs, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "ix")).create()
+    store.add(docs.coalesce(1).select("fields"))
+    store.delete([1, 99])
+    store.update(2, docs.where("doc_id = 3").select("fields"))
+    store.delete([4])
+    plan = store.documents()._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.split("\n") if "Window " in x and "doc_id" in x)
+    assert "row_number" not in window  # before: whole documents were sorted by id to number their changes
+    assert [r["doc_id"] for r in store.documents().orderBy("doc_id").collect()] == [3, 5, 6, 7, 8]
+    ranged = []
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda self, *a: ranged.append(a) or self)
+    store.commit()
+    assert not ranged  # before: all postings were made twice, to find the ranges and to deal them out
+    for f in (tmp_path / "ix/v1/postings").glob("*.parquet"):
+        terms = [r["term"] for r in spark.read.parquet(str(f)).collect()]
+        assert terms == sorted(terms)
+    assert sorted(r["doc_id"] for r in s.hits(store.index(), "tion").collect()) == [3, 5, 7, 8]
