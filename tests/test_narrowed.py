@@ -7,6 +7,7 @@ from lumensift.functions.analysis import Analyzer
 from lumensift.operators import search as s
 from lumensift.operators.index import Index
 from lumensift.operators.wanted import Match, Wanted
+from lumensift.plans import queries as registered
 from lumensift.plans.ast import Boolean, Clause, Fuzzy, Not, Occur, Phrase, Term
 from lumensift.plans.compiler import matches
 from lumensift.sources import documents as d
@@ -95,3 +96,18 @@ def test_a_commit_shuffles_no_documents(spark, docs, tmp_path, monkeypatch):
         terms = [r["term"] for r in spark.read.parquet(str(f)).collect()]
         assert terms == sorted(terms)
     assert sorted(r["doc_id"] for r in s.hits(store.index(), "tion").collect()) == [3, 5, 7, 8]
+
+
+@pytest.mark.parametrize("name", "and_not_empty and_query bool_should_only count_query field_scoped_term fuzzy_distance1 group_hits_by_lang index_corpus_stats index_postings index_term_stats must_passthrough not_query page_offset phrase_query".split())
+def test_registered_queries_store_little(spark, name, monkeypatch):
+    """Blocks that a query leaves in executor storage are read whole by single tasks; before, they held every posting."""
+    sf = "/root/testdata/sf0.001"
+    stored = lambda: sum(r.memSize() + r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(registered, "_indexes", {})
+    before = stored()
+    registered.QUERIES[name](spark, sf).collect()
+    took = stored() - before
+    for ix in registered._indexes.values():
+        ix.close()
+    assert took < texts / 10
