@@ -82,11 +82,12 @@ def members(raw: bytes):
     while raw:
         d = zlib.decompressobj(zlib.MAX_WBITS | 16)
         try:
-            yield d.decompress(raw) + d.flush()
+            part = d.decompress(raw) + d.flush()
         except zlib.error:
             raise ValueError("broken gzip stream") from None
         if not d.eof:
             raise ValueError("gzip stream ends early")
+        yield part
         raw = d.unused_data.lstrip(b"\0")
 
 
